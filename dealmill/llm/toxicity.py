@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from dealmill.llm.common import materialize
 
@@ -196,25 +197,37 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     named like the two are replaced. An empty table gives no rows.
     """
     kept = [c for c in documents.columns if c not in ("score", "predicted")]
-    at = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
         for batch in batches:
             scores = []
-            for text in batch.column(at).to_pylist():
+            for text in batch.column("text").to_pylist():
                 _, words, hits = match(text or "")
                 scores.append(model.probability(model.feature(words, hits)))
             extra = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "score", "predicted"])
 
     source = documents.select(*[F.col(f"`{c}`") for c in kept])
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
     schema = StructType(list(source.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType())
     return source.mapInArrow(run, schema)
 
 
+def keep_harmless(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows whose text scores below 0.5, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = model.matcher()
+        for batch in batches:
+            fine = []
+            for text in batch.column("text").to_pylist():
+                _, words, hits = match(text or "")
+                fine.append(model.probability(model.feature(words, hits)) < 0.5)
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out_fold():
     """crc32 of the id as text, mod 5, is 0: rows whose labels are never learned from."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
