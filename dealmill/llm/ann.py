@@ -30,10 +30,10 @@ class AnnParams:
     centroids: int = 2_048
     list_size: int = 96
     #: A vector is put into at most so many lists, whose distance is at most (1 + boundary) times the nearest.
-    replicas: int = 6
+    replicas: int = 4
     boundary: float = 0.12
     #: A query reads at most so many lists, whose distance is at most (1 + reach) times the nearest.
-    probes: int = 128
+    probes: int = 96
     reach: float = 0.45
     #: Members of a list, or queries of a list, in one task.
     part: int = 4_096
