@@ -39,25 +39,31 @@ def n_of(col: str = "deal_id") -> Column:
     return F.count(col).cast("long")
 
 
-VALUES = [
-    F.count(F.lit(1)).alias("deal_count"), F.count("total_value").alias("disclosed_count"),
-    F.round(F.sum("total_value"), 2).alias("sum_value"), F.round(F.avg("total_value"), 4).alias("avg_value"),
-]
+def values() -> list[Column]:
+    """Counts and money of a group; undisclosed deals are counted beside it."""
+    v = F.col("total_value")
+    return [F.count(F.lit(1)).alias("deal_count"), F.count(v).alias("disclosed_count"), F.round(F.sum(v), 2).alias("sum_value"), F.round(F.avg(v), 4).alias("avg_value")]
+
+
+def quartiles() -> list[Column]:
+    """Interpolated quartiles of the disclosed values."""
+    return [F.round(F.percentile("total_value", q), 4).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+
+
 VALUES_SQL = "count(*) AS deal_count, count(total_value) AS disclosed_count, round(sum(total_value), 2) AS sum_value, round(avg(total_value), 4) AS avg_value"
-QUARTILES = [F.round(F.percentile("total_value", q), 4).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
 QUARTILES_SQL = "round(quantile_cont(total_value, 0.25), 4) AS p25, round(quantile_cont(total_value, 0.5), 4) AS p50, round(quantile_cont(total_value, 0.75), 4) AS p75"
 
 
 @query(f"SELECT year(date_start)::INT AS year, {VALUES_SQL} FROM deals, as_of WHERE date_start >= today - INTERVAL 10 YEAR GROUP BY 1")
 def market_trends_year(d: Domain) -> DataFrame:
-    return d.deals().where(since(10)).groupBy(F.year("date_start").alias("year")).agg(*VALUES).orderBy(F.desc("year"))
+    return d.deals().where(since(10)).groupBy(F.year("date_start").alias("year")).agg(*values()).orderBy(F.desc("year"))
 
 
 @query(f"""SELECT year(date_start) || '-Q' || quarter(date_start) AS period, {VALUES_SQL}
 FROM deal_areas, as_of WHERE date_start >= today - INTERVAL 5 YEAR AND area ILIKE '%europe%' GROUP BY 1""")
 def market_trends_quarter_area(d: Domain) -> DataFrame:
     period = F.concat(F.year("date_start"), F.lit("-Q"), F.quarter("date_start"))
-    return d.deal_areas().where(since(5) & F.col("area").ilike("%europe%")).groupBy(period.alias("period")).agg(*VALUES)
+    return d.deal_areas().where(since(5) & F.col("area").ilike("%europe%")).groupBy(period.alias("period")).agg(*values())
 
 
 @query(f"""WITH first_stage AS (
@@ -69,7 +75,7 @@ def valuations_by_phase(d: Domain) -> DataFrame:
     stages = d.t("lineitem").join(d.t("part"), F.col("l_partkey") == F.col("p_partkey"))
     first = first_per_key(stages.select("l_orderkey", "l_shipdate", "l_linenumber", "p_partkey", "p_type"), ["l_orderkey"], [F.col("l_shipdate").asc_nulls_last(), F.col("l_linenumber"), F.col("p_partkey")])
     first = first.select(F.col("l_orderkey").alias("deal_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("phase"))
-    return d.deals().where(since(10)).join(first, "deal_id").groupBy("phase").agg(*VALUES, F.min("total_value").alias("min_value"), F.max("total_value").alias("max_value"), *QUARTILES)
+    return d.deals().where(since(10)).join(first, "deal_id").groupBy("phase").agg(*values(), F.min("total_value").alias("min_value"), F.max("total_value").alias("max_value"), *quartiles())
 
 
 @query(f"""SELECT p_brand AS indication, {VALUES_SQL}, {QUARTILES_SQL} FROM (
@@ -78,14 +84,14 @@ GROUP BY 1 HAVING count(total_value) >= 5 ORDER BY avg_value DESC NULLS LAST, in
 def valuations_by_indication(d: Domain) -> DataFrame:
     bridge = d.deal_assets().join(d.t("part").select(F.col("p_partkey").alias("asset_id"), F.col("p_brand").alias("indication")), "asset_id").select("deal_id", "indication").distinct()
     return (
-        d.deals().where(since(10)).join(bridge, "deal_id").groupBy("indication").agg(*VALUES, *QUARTILES)
+        d.deals().where(since(10)).join(bridge, "deal_id").groupBy("indication").agg(*values(), *quartiles())
         .where(F.col("disclosed_count") >= 5).orderBy(F.desc_nulls_last("avg_value"), "indication").limit(20)
     )
 
 
 @query(f"SELECT coalesce(nullif(agreement_type, ''), 'Unknown') AS deal_type, {VALUES_SQL}, {QUARTILES_SQL} FROM deals GROUP BY 1")
 def valuations_by_type(d: Domain) -> DataFrame:
-    return d.deals().groupBy(F.coalesce(F.nullif("agreement_type", F.lit("")), F.lit("Unknown")).alias("deal_type")).agg(*VALUES, *QUARTILES)
+    return d.deals().groupBy(F.coalesce(F.nullif("agreement_type", F.lit("")), F.lit("Unknown")).alias("deal_type")).agg(*values(), *quartiles())
 
 
 @query("""SELECT d.deal_id, d.total_value, d.date_start, c.name AS principal, (
@@ -122,7 +128,7 @@ def deal_activity_summary(d: Domain) -> DataFrame:
 
 @query(f"SELECT nation, area, {VALUES_SQL} FROM deal_areas, as_of WHERE date_start >= today - INTERVAL 5 YEAR GROUP BY ALL ORDER BY deal_count DESC, nation LIMIT 30")
 def geographic_distribution(d: Domain) -> DataFrame:
-    return d.deal_areas().where(since(5)).groupBy("nation", "area").agg(*VALUES).orderBy(F.desc("deal_count"), "nation").limit(30)
+    return d.deal_areas().where(since(5)).groupBy("nation", "area").agg(*values()).orderBy(F.desc("deal_count"), "nation").limit(30)
 
 
 @query("""SELECT category, agreement_type, count(*) AS deal_count, sum(count(*)) OVER (PARTITION BY category)::BIGINT AS category_count,
