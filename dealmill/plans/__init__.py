@@ -1,7 +1,7 @@
 """Named queries over the domain, each with its DuckDB oracle where SQL can express it."""
 
-from dealmill.plans import companies, extraction, graph, market, relational, search, telemetry
+from dealmill.plans import companies, extraction, graph, market, relational, search, streams, telemetry
 
-_MODULES = (market, relational, companies, search, graph, telemetry, extraction)
+_MODULES = (market, relational, companies, search, graph, telemetry, extraction, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
