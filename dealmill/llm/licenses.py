@@ -1,6 +1,7 @@
 """License scans by patience alignment of texts with license templates.
 
-A match covers at least ``coverage`` of a template's words in order, so of any floor((1 - coverage) * n) + 1
+A match covers at least ``coverage`` of a template's words in order, and they make up as much of the stretch of
+text from the first to the last of them. So of any floor((1 - coverage) * n) + 1
 template words one at least is in it. The places in the text of the words that are rarest there open windows;
 in each window text and template are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between anchors are aligned in the same way, short gaps without
@@ -161,7 +162,7 @@ class Scanner:
             seen = s + slack // 2
             lo, hi = max(0, s - slack), min(len(words), s + n + slack + slack // 2)
             pairs = align(words[lo:hi], template)
-            if len(pairs) >= least:
+            if len(pairs) >= max(least, self.coverage * (pairs[-1][0] - pairs[0][0] + 1) if pairs else 1):
                 found.append((len(pairs), lo + pairs[0][0], lo + pairs[-1][0]))
         taken, out = [], []
         for got, a, b in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):

@@ -40,13 +40,18 @@ LOOKALIKES = {
     "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɩ": "i", "ł": "l", "ø": "o", "đ": "d", "ӏ": "l", "ƅ": "b", "ʟ": "l",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
+SIGNS = {"@": "a", "$": "s", "€": "e"}
 _ZERO_WIDTH = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 _TABLE = {ord(k): v for k, v in LOOKALIKES.items()} | {ord("l"): "i"}
-_DIGIT_IN_WORD = re.compile(r"(?<=[^\W\d_])[0134-9]+(?=[^\W\d_])|(?<![^\W_])[0134-9](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134-9](?![^\W_])")
-_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€](?=\w)|(?<!\S)[@$](?=[^\W\d_]{2})")
+_WITH_DIGIT = re.compile(r"[^\W_]*\d[^\W_]*")
+_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$€](?=\w)|(?<!\S)[@$](?=[^\W\d_]{2})")
 _WORD = re.compile(r"[^\W\d_]+")
-_SKIP = re.compile(r"[\W\d_]+")
+
+
+def _letters(m: re.Match) -> str:
+    """Digits read as letters in a word that has two letters or more; numbers stay."""
+    word = m[0]
+    return "".join(DIGITS.get(c, c) for c in word) if sum(map(str.isalpha, word)) >= 2 else word
 
 
 def fold(text: str) -> str:
@@ -56,7 +61,7 @@ def fold(text: str) -> str:
         low = unicodedata.normalize("NFKD", low).translate(_ZERO_WIDTH)
         low = "".join(c for c in low if not unicodedata.combining(c)) if any(map(unicodedata.combining, set(low))) else low
     low = _SIGN_IN_WORD.sub(lambda m: SIGNS[m[0]], low)
-    low = _DIGIT_IN_WORD.sub(lambda m: "".join(DIGITS[c] for c in m[0] if c in DIGITS), low)
+    low = _WITH_DIGIT.sub(_letters, low)
     return low.translate(_TABLE) if not low.isascii() else low.replace("l", "i")
 
 
