@@ -1,11 +1,12 @@
 r"""Mixing sources to target weights by Sainte-Lague apportionment, with DataFrame expressions only.
 
 Sources get target shares of all tokens; a target above ``max_repeats`` times its source's size stops there and
-the excess is shared out again by weight until no target is above. Blocks of ``block`` tokens are then given to
-sources by the highest quotients target / (2k + 1). A source is cut into shards of about ``shard_docs``
-documents by a seeded digest, its quota is given to its shards by the same rule, and inside a shard the
-documents form one stream in seeded order. A quota of q blocks of a stream with n blocks takes every block
-q // n times and q % n more, spread evenly over the stream from a seeded start.
+the excess is shared out again by weight until no target is above. Blocks of ``block`` tokens (fewer where
+sources have under 256 blocks on average) are then given to sources by the highest quotients
+target / (2k + 1). A source is cut into shards of about ``shard_docs`` documents by a seeded digest, its quota is
+given to its shards by the same rule, and inside a shard the documents form one stream in seeded order. A quota
+of q blocks of a stream with n blocks takes every block q // n times and q % n more, spread evenly over the
+stream from a seeded start.
 
 The highest quotients are found without listing all blocks: for S parties and N blocks the divisor
 T / (N - S/2) never gives more than N and T / (N + S/2) never fewer. The upper bound is taken wider, at N + 4S,
@@ -98,7 +99,9 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_re
         documents.select("doc_id", "source", count_spaced_words(F.col("text")).alias("size"), hexed.alias("draw")), "mix-sizes"
     )
     n = len(weights)
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by_source = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "mix-sources")
+    all_words, n_sources = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
+    block = max(1, min(block, all_words // (256 * max(1, n_sources))))
     placed = by_source.withColumn("position", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     placed = placed.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.col("position") - 1) % n + 1).cast("int")))
     targets = target_shares(placed.select("source", "position", "source_size", "weight"), max_repeats)
@@ -152,6 +155,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sql(documents: str = "documents", weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, block: int = 32, shard_docs: int = 512, seed: int = 7) -> str:
     """The same mix as DuckDB SQL; here every block is listed and ranked by its quotient."""
+    most, block = block, "(SELECT b FROM blk)"
     return f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS size,
@@ -161,6 +165,7 @@ WITH RECURSIVE sized AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
          row_number() OVER (ORDER BY source ASC NULLS LAST) AS position
   FROM sized GROUP BY source
+), blk AS (SELECT greatest(1, least({most}, coalesce(sum(source_size), 0) // (256 * greatest(count(*), 1))))::BIGINT AS b FROM src
 ), weighed AS (
   SELECT *, ([{', '.join(map(str, weights))}])[((position - 1) % {len(weights)} + 1)::INT]::BIGINT AS weight, (SELECT sum(source_size)::BIGINT FROM src) AS total FROM src
 ), filled AS (
