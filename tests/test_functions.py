@@ -89,6 +89,39 @@ def test_paths(spark):
     assert [r.path for r in shortest_paths(edges, "a", "e", 4).collect()] == [["a", "b", "c", "e"], ["a", "d", "c", "e"]]
 
 
+def test_read_only_guard(spark):
+    from dealmill.operators.guard import is_read_only, keeps_ids, run_read_only
+
+    for good in ("select 1", "WITH a AS (SELECT 'drop table x' AS t) SELECT * FROM a", "SELECT 1 UNION SELECT 2"):
+        assert is_read_only(spark, good), good
+    for bad in ("DROP TABLE x", "INSERT INTO t VALUES (1)", "CREATE TABLE t AS SELECT 1", "SELECT 1; DELETE FROM t", "SET a=1", "no sql"):
+        assert not is_read_only(spark, bad), bad
+    assert run_read_only(spark, "SELECT 1 AS x").first().x == 1
+    assert keeps_ids("WHERE id IN (12, 7)", [12, 7]) and not keeps_ids("WHERE id = 127", [12])
+
+
+def test_request_is_checked():
+    from dealmill.plans.advanced import DealRequest, next_cursor
+
+    for wrong in ({"sort": "name"}, {"limit": 0}, {"company_ids": (1,), "company_name": "x"}, {"sort": "value", "value": Money(currencies=("USD", "EUR"))}):
+        with pytest.raises(ValueError):
+            DealRequest(**wrong)
+    cursor = next_cursor(DealRequest(sort="value"), {"deal_id": 3, "total_value": None})
+    with pytest.raises(ValueError):
+        Cursor.decode(cursor, DealRequest(sort="value", limit=5).digest())
+
+
+def test_upsert_keeps_the_newest(spark, tmp_path):
+    from dealmill.streaming.operators import upsert_batches
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (3, "d", 1), (2, "late", 0)]):
+        spark.createDataFrame(rows, "id long, v string, n long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, v string, n long").parquet(source)
+        upsert_batches(stream, target, "id", "n").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.id, r.v) for r in spark.read.parquet(f"{target}/gen=1").collect()} == {(1, "c"), (2, "b"), (3, "d")}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "idx.txt").write_text("CIK|Company|Form|Date|File\n----\n320193|ACME|8-K|2020-01-05|edgar/1.txt\n")
     assert [(r.cik, r.filed) for r in readers.read_master_index(spark, str(tmp_path / "idx.txt")).collect()] == [("320193", dt.date(2020, 1, 5))]
