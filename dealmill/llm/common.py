@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_NAMED: list[str] = []
 #: ASCII white space separates words: space and \t \n \v \f \r.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,7 +23,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "checkpoints", "dealmill")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,13 +34,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes the files of a frame made by materialize(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes all folders that shared_dir() has named in this process, once all results are written."""
+    while _NAMED:
+        _delete(spark, _NAMED.pop())
 
 
 def lower_ascii(text: Column) -> Column:
