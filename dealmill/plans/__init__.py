@@ -1,7 +1,7 @@
 """Named queries over the domain, each with its DuckDB oracle where SQL can express it."""
 
-from dealmill.plans import advanced, companies, extraction, graph, market, relational, reports, search, streams, telemetry
+from dealmill.plans import advanced, companies, extraction, graph, ingest, market, relational, reports, search, streams, telemetry
 
-_MODULES = (market, relational, companies, advanced, reports, search, graph, telemetry, extraction, streams)
+_MODULES = (market, relational, companies, advanced, reports, search, graph, telemetry, extraction, ingest, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
-from dealmill.functions.finance import explode_clauses
 from dealmill.functions.text import ENGLISH, looks_english, sql_fingerprint
 from dealmill.sources.html import plain_text
 
@@ -71,11 +70,6 @@ def page_text(d: Domain) -> DataFrame:
     return plain_text(d.t("pages"), "page_id", "html")
 
 
-@query()
-def contract_clauses(d: Domain) -> DataFrame:
-    return explode_clauses(d.t("documents"), "doc_id", "text")
-
-
 @query("""SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, sum(length(coalesce(text, '')))::BIGINT AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1""")
 def conversation_roles(d: Domain) -> DataFrame:
     return d.t("conversations").groupBy("role").agg(
