@@ -174,7 +174,7 @@ def join_lateral_top(d: Domain) -> DataFrame:
     return d.companies().join(best, F.col("company_id") == F.col("principal_id")).select("company_id", "deal_id", "total_value")
 
 
-PATTERNS = (("holds_the", r"\bthe\b"), ("holds_number", r"[0-9]+"), ("holds_und", r"\bund\b"))
+PATTERNS = (("holds_the", "(^|[^A-Za-z])the([^A-Za-z]|$)"), ("holds_number", "[0-9]+"), ("holds_und", "(^|[^A-Za-z])und([^A-Za-z]|$)"))
 
 
 @query("SELECT doc_id, kind FROM documents, (VALUES " + ", ".join(f"('{k}', '{p}')" for k, p in PATTERNS) + ") t(kind, pattern) WHERE regexp_matches(text, pattern)")
