@@ -123,6 +123,21 @@ def table_keys(signed: DataFrame, m: int) -> DataFrame:
     return _shared(materialize(pairs.select("doc_id", F.xxhash64("a.half", "a.key", "b.half", "b.key").alias("key")), "tables"))
 
 
+def _stars(keyed: DataFrame) -> DataFrame:
+    """Edges a, b that connect all documents with a common key, about one for each document.
+
+    A document is tied to the smallest head (smallest id of a key) among its keys; then, for each key, the heads
+    that its members are tied to are tied to the smallest of them. Members of a large group mostly have one head
+    in common, so a group of any size adds few edges beyond one for each member.
+    """
+    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"))
+    tied = materialize(keyed.join(heads, "key").groupBy("doc_id").agg(F.min("head").alias("head")), "tied")
+    by_key = materialize(keyed.join(tied, "doc_id").select("key", "head").distinct(), "heads-by-key")
+    tops = by_key.groupBy("key").agg(F.min("head").alias("top"))
+    between = by_key.join(tops, "key").where(F.col("head") != F.col("top")).select(F.col("top").alias("a"), F.col("head").alias("b")).distinct()
+    return tied.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).unionByName(between)
+
+
 def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Spanning forest of the links (i, each of js) between n things."""
     parent = list(range(n))
@@ -231,9 +246,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 12, block:
     first = materialize(first.select("doc_id", "sig"), "first")
 
     keyed = table_keys(first, m)
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("a"))
-    stars = keyed.join(heads, "key").select("a", F.col("doc_id").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    coarse = connected_components(stars)
+    coarse = connected_components(_stars(keyed))
     rows = coarse.join(first, coarse["id"] == first["doc_id"]).select(F.col("component").alias("grp"), "doc_id", F.col("sig").alias("data"))
     # 4.2 standard deviations below the expected agreement of a pair at the threshold
     p = percent / 100
