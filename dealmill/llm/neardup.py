@@ -253,7 +253,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 12, block:
     least = int(n_hashes * p - 4.2 * (n_hashes * p * (1 - p)) ** 0.5)
     fine = connected_components(_by_blocks(rows, _compare_sigs(n_hashes, least), 4 * block))
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(fine, "id").select("component", "id", "text")
+    # a shuffle at any size: the ids grow with the corpus, so a broadcast would only hold for small inputs
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(fine.hint("merge"), "id").select("component", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
