@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,12 @@ def lower_ascii(text: Column) -> Column:
 def count_spaced_words(text: Column) -> Column:
     """Number of maximal runs without ASCII white space; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time: what a Python worker makes of them stays small, and freed memory goes back."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import materialize
+from dealmill.llm.common import in_slices, materialize
 from dealmill.llm.components import connected_components
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     known = _word_ids()
-    if len(known) > 500_000:
+    if len(known) > 100_000:
         known.clear()
     for w in set(words):
         if w not in known:
@@ -78,7 +78,7 @@ SIGNED = "doc_id long, words binary, n_shingles long, sig binary"
 
 def _sign(n_hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             words, sizes, sigs = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_hashes(text)
@@ -257,7 +257,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 12, block:
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(fine.hint("merge"), "id").select("component", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             data = [shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(data, pa.binary())], ["grp", "doc_id", "data"])
 

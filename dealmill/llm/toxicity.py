@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from dealmill.llm.common import materialize
+from dealmill.llm.common import in_slices, materialize
 
 # Common insults, and phrases in which one of them is harmless.
 SEED_TERMS = (
@@ -114,7 +114,7 @@ class ToxicityModel:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of folded words by label, summed over each batch."""
-    for batch in batches:
+    for batch in in_slices(batches):
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             (toxic if label else clean).update(set(_WORD.findall(fold(text or ""))))
@@ -129,7 +129,7 @@ def _contexts(model: ToxicityModel):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
-        for batch in batches:
+        for batch in in_slices(batches):
             xs, phrases = [], []
             for text in batch.column("text").to_pylist():
                 folded, words, hits = match(text or "")
@@ -205,7 +205,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
-        for batch in batches:
+        for batch in in_slices(batches):
             scores = []
             for text in batch.column("text").to_pylist():
                 _, words, hits = match(text or "")
@@ -223,7 +223,7 @@ def keep_harmless(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
-        for batch in batches:
+        for batch in in_slices(batches):
             fine = []
             for text in batch.column("text").to_pylist():
                 _, words, hits = match(text or "")
