@@ -5,7 +5,8 @@ text from the first to the last of them. So of any floor((1 - coverage) * n) + 1
 template words one at least is in it. The places in the text of the words that are rarest there open windows;
 in each window text and template are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between anchors are aligned in the same way, short gaps without
-unique words by their longest common subsequence.
+unique words by their longest common subsequence. Then words move next to the longest unbroken row of the
+alignment, and outer words go until the rest is dense enough.
 """
 
 from __future__ import annotations
@@ -114,6 +115,26 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def gather(pairs: list[tuple[int, int]], text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """The same words of the template, each moved to its equal in the text next to the longest unbroken row of pairs."""
+    if not pairs:
+        return pairs
+    first = best = start = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            if k - start > best:
+                first, best = start, k - start
+            start = k
+    out = list(pairs)
+    for k in range(first - 1, -1, -1):
+        i, j = out[k]
+        out[k] = next(x for x in range(out[k + 1][0] - 1, i - 1, -1) if text[x] == template[j]), j
+    for k in range(first + best, len(out)):
+        i, j = out[k]
+        out[k] = next(x for x in range(out[k - 1][0] + 1, i + 1) if text[x] == template[j]), j
+    return out
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -161,9 +182,7 @@ class Scanner:
                 continue
             seen = s + slack // 2
             lo, hi = max(0, s - slack), min(len(words), s + n + slack + slack // 2)
-            pairs = align(words[lo:hi], template)
-            if len(pairs) >= max(least, self.coverage * (pairs[-1][0] - pairs[0][0] + 1) if pairs else 1):
-                found.append((len(pairs), lo + pairs[0][0], lo + pairs[-1][0]))
+            found += self._dense(words, lo, hi, template, least)
         taken, out = [], []
         for got, a, b in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):
             if all(b < x or y < a for x, y in taken):
@@ -171,6 +190,37 @@ class Scanner:
                 out.append(Match(name, got, got / n, spans[a][0], spans[b][1]))
         return out
 
+    def _dense(self, words, lo, hi, template, least) -> list[tuple[int, int, int]]:
+        """(matched, first, last) of the matches in words[lo:hi]: what is beside one, or beside the widest hole
+        of an alignment that is too thin, is aligned by itself."""
+        out, todo, seen, vocab = [], [(lo, hi)], set(), Counter(template)
+        while todo:
+            part = lo, hi = todo.pop()
+            if part in seen or sum((Counter(w for w in words[lo:hi] if w in vocab) & vocab).values()) < least:
+                continue
+            seen.add(part)
+            text = words[lo:hi]
+            pairs = gather(align(text, template), text, template)
+            if len(pairs) < least:
+                continue
+            run = self._run(pairs, least)
+            if run:
+                a, b = lo + run[0][0], lo + run[-1][0]
+                out.append((len(run), a, b))
+                todo += [(lo, a), (b + 1, hi)]
+            else:
+                k = max(range(len(pairs) - 1), key=lambda k: pairs[k + 1][0] - pairs[k][0])
+                todo += [(lo, lo + pairs[k + 1][0]), (lo + pairs[k][0] + 1, hi)]
+        return out
+
+    def _run(self, pairs, least) -> list[tuple[int, int]]:
+        """The most pairs in a row, shortest stretch first, that are enough and dense enough, or none."""
+        for size in range(len(pairs), least - 1, -1):
+            k = min(range(len(pairs) - size + 1), key=lambda k: pairs[k + size - 1][0] - pairs[k][0])
+            if size >= self.coverage * (pairs[k + size - 1][0] - pairs[k][0] + 1):
+                return pairs[k : k + size]
+        return []
+
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """Per match: doc_id, license, matched (words), coverage, start, end (code points of the text).

@@ -137,6 +137,20 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_whole_notices_are_found_behind_their_own_words():
+    scanner, rng = licenses.Scanner(), random.Random(7)
+    end = "this X a Y the This work is licensed under the GNU General Public License, version 3."
+    assert [(m.license, m.matched, end[m.start : m.start + 9]) for m in scanner.scan(end)] == [("GPL-3.0-notice", 12, "This work")]
+    for name, words in scanner.templates.items():
+        for strays in (["this", "x", "y", "z", "the"], words, [*words, *["x", "y"] * len(words)]):
+            for _ in range(15):
+                parts = [[rng.choice(strays) for _ in range(rng.randint(0, 2 * len(words)))] for _ in range(3)]
+                text = " ".join([*parts[0], *words, *parts[1], *words, *parts[2]])
+                got = {m.start for m in scanner.scan(text) if m.license == name and m.matched == len(words)}
+                at = len(" ".join([*parts[0], ""])), len(" ".join([*parts[0], *words, *parts[1], ""]))
+                assert got.issuperset(at), (name, text)
+
+
 def test_license_query_finds_every_notice(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
     got = {(r.doc_id, r.license) for r in queries.QUERIES["op6_licenses"](spark, DATA).collect()}
