@@ -6,7 +6,8 @@ template words one at least is in it. The places in the text of the words that a
 in each window text and template are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between anchors are aligned in the same way, short gaps without
 unique words by their longest common subsequence. Then words move next to the longest unbroken row of the
-alignment, and outer words go until the rest is dense enough.
+alignment, and outer words go until the rest is dense enough. Words that tell a license from others (names and
+versions) have to be in the match, and a word that makes a variant of it (lesser, SA) must not be.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"(?<![^\W_])v(?=\d)|[^\W_]+")  # v3 is two words, like v. 3
+
+# Words that tell licenses apart, besides version numbers, and words that make another license of one.
+NAMES = frozenset("mit apache gnu cc nc creative commons attribution sharealike mozilla".split())
+VARIANTS = frozenset("lesser affero nc nd sa noncommercial noderivatives noderivs sharealike".split())
 
 # License notices as their authors word them.
 TEMPLATES = {
@@ -58,6 +63,11 @@ TEMPLATES = {
 }
 
 
+def _version(word: str) -> bool:
+    """A version number; 2 and 2.0 are the same, and years are none."""
+    return word.isdigit() and len(word) < 3 and word != "0"
+
+
 def _longest_increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence, by piles."""
     tops, last, back = [], [], [-1] * len(values)
@@ -149,6 +159,7 @@ class Scanner:
         self.coverage = coverage
         self.templates = {k: _WORD.findall(v.lower()) for k, v in (templates or TEMPLATES).items()}
         self.vocab = {k: Counter(v) for k, v in self.templates.items()}
+        self.telling = {k: {w for w in v if w in NAMES or _version(w)} for k, v in self.templates.items()}
 
     def scan(self, text: str) -> list[Match]:
         """Matches of all templates; those of one template don't overlap, better and earlier ones first chosen."""
@@ -158,7 +169,7 @@ class Scanner:
         present, spans, words, out = set(_WORD.findall(low)), None, [], []
         for name, template in self.templates.items():
             least = self._least(len(template))
-            if sum(n for w, n in self.vocab[name].items() if w in present) < least:
+            if not self.telling[name] <= present or sum(n for w, n in self.vocab[name].items() if w in present) < least:
                 continue
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(low)]
@@ -182,7 +193,7 @@ class Scanner:
                 continue
             seen = s + slack // 2
             lo, hi = max(0, s - slack), min(len(words), s + n + slack + slack // 2)
-            found += self._dense(words, lo, hi, template, least)
+            found += self._dense(words, lo, hi, name, template, least)
         taken, out = [], []
         for got, a, b in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):
             if all(b < x or y < a for x, y in taken):
@@ -190,10 +201,10 @@ class Scanner:
                 out.append(Match(name, got, got / n, spans[a][0], spans[b][1]))
         return out
 
-    def _dense(self, words, lo, hi, template, least) -> list[tuple[int, int, int]]:
+    def _dense(self, words, lo, hi, name, template, least) -> list[tuple[int, int, int]]:
         """(matched, first, last) of the matches in words[lo:hi]: what is beside one, or beside the widest hole
-        of an alignment that is too thin, is aligned by itself."""
-        out, todo, seen, vocab = [], [(lo, hi)], set(), Counter(template)
+        of an alignment that holds none, is aligned by itself."""
+        out, todo, seen, vocab = [], [(lo, hi)], set(), self.vocab[name]
         while todo:
             part = lo, hi = todo.pop()
             if part in seen or sum((Counter(w for w in words[lo:hi] if w in vocab) & vocab).values()) < least:
@@ -203,7 +214,7 @@ class Scanner:
             pairs = gather(align(text, template), text, template)
             if len(pairs) < least:
                 continue
-            run = self._run(pairs, least)
+            run = self._run(pairs, text, self.telling[name], least)
             if run:
                 a, b = lo + run[0][0], lo + run[-1][0]
                 out.append((len(run), a, b))
@@ -213,14 +224,29 @@ class Scanner:
                 todo += [(lo, lo + pairs[k + 1][0]), (lo + pairs[k][0] + 1, hi)]
         return out
 
-    def _run(self, pairs, least) -> list[tuple[int, int]]:
-        """The most pairs in a row, shortest stretch first, that are enough and dense enough, or none."""
+    def _run(self, pairs, text, telling, least) -> list[tuple[int, int]]:
+        """The most pairs in a row, shortest stretch first, that are enough, dense enough and of this license, or none."""
         for size in range(len(pairs), least - 1, -1):
-            k = min(range(len(pairs) - size + 1), key=lambda k: pairs[k + size - 1][0] - pairs[k][0])
-            if size >= self.coverage * (pairs[k + size - 1][0] - pairs[k][0] + 1):
-                return pairs[k : k + size]
+            for k in sorted(range(len(pairs) - size + 1), key=lambda k: pairs[k + size - 1][0] - pairs[k][0]):
+                if size < self.coverage * (pairs[k + size - 1][0] - pairs[k][0] + 1):
+                    break
+                if self._named(pairs[k : k + size], text, telling):
+                    return pairs[k : k + size]
         return []
 
+    @staticmethod
+    def _named(run, text, telling) -> bool:
+        """All telling words are matched, versions with no other one before them, and no word between makes a variant."""
+        told, last = set(), run[0][0]
+        for i, _ in run:
+            between = text[last + 1 : i]
+            if not VARIANTS.isdisjoint(between):
+                return False
+            if not (_version(text[i]) and any(map(_version, between))):
+                told.add(text[i])
+            last = i
+        return telling <= told
+
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """Per match: doc_id, license, matched (words), coverage, start, end (code points of the text).

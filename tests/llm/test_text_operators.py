@@ -151,6 +151,23 @@ def test_license_whole_notices_are_found_behind_their_own_words():
                 assert got.issuperset(at), (name, text)
 
 
+def test_license_scan_tells_licenses_apart():
+    found = lambda text: {m.license for m in licenses.Scanner().scan(text)}
+    gpl, cc = "This work is licensed under the GNU General Public License", "This work is licensed under a Creative Commons Attribution"
+    long = licenses.TEMPLATES["GPL-3.0-or-later"]
+    for text in (
+        "Released under the BSD License.", f"{gpl}, version 2.", f"{gpl}, version 2. All 3 parts", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.",
+        gpl.replace("General", "Lesser General") + ", version 3.", f"{cc}-NonCommercial 4.0 International License.", f"{cc} 3.0 International License.",
+        long.replace("version 3", "version 2"), long.replace("General", "Lesser General"),
+    ):
+        assert not found(text), text
+    assert found(f"{cc} 4.0 International License.") == {"CC-BY-4.0"} and found(f"{cc}-ShareAlike 4.0 International License.") == {"CC-BY-SA-4.0"}
+    assert found(f"{gpl}, version 2. {gpl}, version 3.") == found(f"{gpl} v3") == {"GPL-3.0-notice"} and found(long.replace("program", "library")) == {"GPL-3.0-or-later"}
+    assert found("Licensed under the Apache License, Version 2.") == {"Apache-2.0-notice"} and found("Released under the MIT") == {"MIT-notice"}
+    bsd = licenses.TEMPLATES["BSD"].replace("met: ", "met: 1. ").replace("source code", "source code (c) 2024")
+    assert found(bsd) == {"BSD"} and all(name in found(text) for name, text in licenses.TEMPLATES.items())
+
+
 def test_license_query_finds_every_notice(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
     got = {(r.doc_id, r.license) for r in queries.QUERIES["op6_licenses"](spark, DATA).collect()}
