@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import lower_ascii, materialize
+from dealmill.llm.common import drop_written, lower_ascii, materialize
 
 #: (verdict, host and path)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -47,8 +47,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 15) -> DataFrame:
-    """host, trust, distrust after ``rounds`` rounds. ``seeds``: host, trust, distrust; ``edges``: src, dst, n."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, guard: int = 1000) -> DataFrame:
+    """host, trust, distrust. ``seeds``: host, trust, distrust; ``edges``: src, dst, n.
+
+    Rounds go on until no host's mass can be off by more than ``tolerance``, and raise after ``guard`` of them; with
+    ``rounds``, it is just so many. A round shrinks the sum of all changes by ``damping`` at least, so what all
+    further rounds can change is bounded by the sum of the last one's.
+    """
     edges = materialize(edges, "host-edges")
     if edges.limit(1).count() == 0:  # without links every host keeps its seeds
         return seeds
@@ -66,21 +71,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     )
     start = materialize(start.select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("passes", F.lit(False)).alias("passes")), "host-seeds")
     rank = start.withColumn("mass", F.col("seed"))
-    for _ in range(rounds):
+    for done in range(1, (guard if rounds is None else rounds) + 1):
         passed = rank.select("kind", F.col("host").alias("from"), "mass").join(flows, ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
         kept = F.when(F.col("passes"), 0.0).otherwise(F.col("mass"))
-        rank = rank.join(passed, ["kind", "host"], "left").withColumn("mass", (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + kept)).drop("got")
-        rank = materialize(rank, "host-rank")
+        mass = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + kept)
+        after = rank.join(passed, ["kind", "host"], "left").withColumn("change", F.abs(mass - F.col("mass"))).withColumn("mass", mass).drop("got")
+        before, written = rank, materialize(after, "host-rank")
+        rank = written.drop("change")
+        if done > 1:
+            drop_written(before)
+        if rounds is None:
+            left = max(r[1] for r in written.groupBy("kind").agg(F.sum("change")).collect()) * damping / (1 - damping)
+            if left <= tolerance:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust has not settled after {guard} rounds: hosts may be off by {left}, over {tolerance}")
     mass = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(mass("trust"), mass("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 15) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, trust, distrust.
 
     ``pages`` has page_id, url, html; other columns are ignored. A null url, or one without ``://``, has empty
     host and path, no rule, and is allowed (nothing speaks against it). Null html has no links. Repeated pages
-    count as often as they occur. An empty table gives no rows. Hosts are aggregated before they are joined, so
+    count as often as they occur. An empty table gives no rows. Trust is propagated until it has settled well
+    below the threshold of any host, or for just ``rounds`` rounds. Hosts are aggregated before they are joined, so
     a hot host is one row of the graph.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -91,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
     hosts = materialize(hosts, "hosts")
     total = hosts.agg(F.sum("n")).first()[0] or 1
     seeds = hosts.select("host", (F.col("allow") / total).alias("trust"), (F.col("block") / total).alias("distrust"))
-    ranks = propagate(seeds, host_edges(pages), damping, rounds)
+    # a thousandth of the threshold of a host with one page, but not below what sums of doubles can tell
+    ranks = propagate(seeds, host_edges(pages), damping, rounds, max(1e-3 * abs(threshold) / total, 1e-14))
     scored = hosts.join(ranks, "host").select(
         "host", "trust", "distrust", (F.col("distrust") - F.col("trust") > threshold * F.col("n") / total).alias("bad")
     )
@@ -108,7 +126,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def urls_sql(rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 15) -> str:
-    """The same in DuckDB SQL, the rounds of propagation written out one after the other."""
+    """The same in DuckDB SQL with just ``rounds`` rounds of propagation, written out one after the other."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda url: f"coalesce({lower.format(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")}, '')"
     values = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)

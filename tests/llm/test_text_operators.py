@@ -223,6 +223,20 @@ def test_urls_links_spread_distrust(spark):
     assert got[9].distrust > 0 and got[9].verdict == "block" and got[10].verdict == "allow"
 
 
+def test_urls_propagation_goes_on_until_settled(spark):
+    hosts = [f"h{i:02}" for i in range(23)]
+    seeds, edges = [(hosts[0], 0.9, 0.0), (hosts[-1], 0.0, 0.1)], [(a, b, 1) for a, b in zip(hosts, hosts[1:])]
+    edges += [("x", "y", 1), ("y", "x", 1)]
+    seeds.append(("x", 0.5, 0.0))
+    frames = spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string, n long")
+    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(*frames, tolerance=1e-4).collect()}
+    want = _propagate(seeds, edges, 0.85, 400)
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h], abs=1e-4) for h in want)
+    assert got[hosts[20]][0] > 0 and got["x"][0] == pytest.approx(0.5 / 1.85, abs=1e-4)
+    with pytest.raises(RuntimeError, match="not settled after 2 rounds"):
+        urls.propagate(*frames, guard=2)
+
+
 PAGE = """<html><head><title>no</title><style>x</style></head><body><header><p>Site name</p></header><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>The  title &amp; more</h1><p>First <b>bold</b>
  text&nbsp;here.<p>Second &lt;p&gt; paragraph, with more words in it.<script>var a = "</p>";</script><div class="ad">Buy now</div><ul><li>one point made<li>two points made</ul></article>
