@@ -21,11 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Elements of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select datalist title".split())
+HIDDEN = frozenset("head script style noscript template iframe canvas audio video select datalist title mjx-assistive-mml ~annotation ~annotation-xml ~mphantom ~defs ~desc ~metadata ~symbol".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math svg"
+    " ~menclose ~merror ~mfrac ~mi ~mmultiscripts ~mn ~mo ~mover ~mpadded ~mroot ~mrow ~ms ~mspace ~msqrt ~mstyle ~msub ~msubsup ~msup ~mtable ~mtd ~mtext ~mtr ~munder ~munderover ~semantics"
+    " ~circle ~ellipse ~g ~line ~path ~polygon ~polyline ~rect ~text ~textpath ~tspan ~use".split()
 )
+#: Formulas and drawings, in which "/>" closes an element and names with ~ are known, and classes of copies for screen readers.
+FOREIGN = frozenset("math svg".split())
+CLIPPED = frozenset("katex-mathml mjx_assistive_mathml".split())
+_OWN = frozenset(t[1:] for t in HIDDEN | INLINE if t[0] == "~")
 #: A start tag of these closes an open element of the set, up to the given bounds.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -56,6 +62,7 @@ FEATURES = [f"tag:{t}" for t in [*TAGS, "other"]] + [f"cue:{c}" for c in CUES] +
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|data-truth)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_MATH_END = re.compile(r"</math\s*>", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085\x1c-\x1f]+")
 _CUT = re.compile(r"[^a-z0-9]+")
 _MARKS = re.compile(r"[©®]|all rights reserved|cookie|subscribe|sign up|log in|advertis|sponsored", re.I)
@@ -80,7 +87,7 @@ def parse(page: str) -> list[Node]:
     """
     root = Node("html", None)
     nodes, stack = [root], [("html", root)]
-    hidden, links, run, linked = 0, 0, [], 0
+    hidden, links, foreign, run, linked = 0, 0, 0, [], 0
     pos, size = 0, len(page)
 
     def flush() -> None:
@@ -93,12 +100,15 @@ def parse(page: str) -> list[Node]:
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal hidden, links
-        if any(t not in INLINE for t, _ in stack[k:]):
+        nonlocal hidden, links, foreign
+        if any(t not in INLINE and not (foreign and t in HIDDEN) for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
             hidden -= t in HIDDEN or t == "#hidden"
             links -= t == "a"
+            foreign -= t in FOREIGN
+            if t == "~text" and not hidden:
+                run.append(" ")
         del stack[k:]
 
     while pos < size:
@@ -120,6 +130,8 @@ def parse(page: str) -> list[Node]:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), m[1]
+        if foreign and tag in _OWN:
+            tag = "~" + tag
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -132,6 +144,8 @@ def parse(page: str) -> list[Node]:
             elif tag == "hr":
                 flush()
             continue
+        if m[0].endswith("/>") and (foreign or tag in FOREIGN):
+            continue
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
@@ -141,7 +155,7 @@ def parse(page: str) -> list[Node]:
                     pop_to(k)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        if tag not in INLINE:
+        if tag not in INLINE and not (foreign and tag in HIDDEN):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in P_STAYS_IN:
                     break
@@ -164,6 +178,13 @@ def parse(page: str) -> list[Node]:
             hidden += 1
         elif tag == "a":
             links += 1
+        elif tag in FOREIGN:
+            foreign += 1
+        elif tag == "~text" and not hidden:
+            run.append(" ")
+        if m[3] and not CLIPPED.isdisjoint(attrs.get("class", "").lower().split()):
+            end = _MATH_END.search(page, pos)
+            pos = end.end() if end else pos
         if tag not in INLINE and not hidden:
             top = stack.pop()
             flush()

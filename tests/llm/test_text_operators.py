@@ -247,6 +247,18 @@ def test_html_article_text():
     assert html_extract.extract(PAGE, html_extract.default_model()) == "The title & more\nFirst bold text here.\nSecond <p> paragraph, with more words in it.\none point made\ntwo points made"
 
 
+def test_html_formulas_drawings_and_fallbacks_are_text():
+    page = lambda body: f"<html><body><nav><a href=/a>Home</a></nav><article><p>Some words stand before all of this text.</p>{body}<p>Some words stand behind all of it.</p></article></body>"
+    said = lambda body: html_extract.extract(page(body), html_extract.default_model()).split("\n")[1:-1]
+    math = '<math><semantics><mrow><mi>E</mi><mspace width="1em"/><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup></mrow><annotation>E=m^2</annotation></semantics></math>'
+    assert said(f"<p>We know that {math} holds for all of the given values.</p>") == ["We know that E=m2 holds for all of the given values."]
+    assert said(f'<p>We know <span class="katex"><span class="katex-mathml">{math}</span><span class="katex-html" aria-hidden="true">E=m2</span></span> to hold here.</p>') == ["We know E=m2 to hold here."]
+    svg = '<svg><title>no</title><style>.a{}</style><path d="M0"/><g><text>inner</text><text>outer <tspan>wall</tspan></text></g></svg>'
+    assert said(f"<p>The drawing {svg} shows the parts of the house.</p>") == ["The drawing inner outer wall shows the parts of the house."]
+    assert [n.text for n in html_extract.parse("<desc>a tag unknown here</desc>") if n.text] == ["a tag unknown here"]
+    assert said('<p>First part of it.</p><object data="x.pdf"><param name=a><p>The report says that sales rose in this year.</p></object>') == ["First part of it.", "The report says that sales rose in this year."]
+
+
 def test_html_edge_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>" + "Some words. " * 20000 + "</article>"), (4, "u", "<p"), (4, "u", "a < b"), (5, "u", "<nav><a href=x>y</a></nav>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
