@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a window of a benchmark item go. Null and wordless texts stay."""
     rows, key = _identified(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), items)
+    judged = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), items, slop=None)
     return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -126,13 +126,21 @@ def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5) -> Da
     return spans.where(fits).select("rid", "win", "at")
 
 
-def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, spans, items, contaminated.
+def _named_items(found: DataFrame, tests: TestWindows, name: str) -> DataFrame:
+    """rid, ``name``: the ids of the items of a document's windows, as sorted strings without null."""
+    by_item = found.select("rid", "win").distinct().join(tests.items, "win").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
+    return by_item.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias(name))
+
+
+def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = 5) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, spans, items, contaminated, and of its proximity matches n_near, near_items.
 
     ``documents`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Null texts have no
     words and no hits; null and repeated doc_ids keep a row each; empty tables give no rows, or no hits.
     ``spans`` are the merged stretches [from, to) of hit words, ``items`` the ids of the items found, as sorted
-    strings (a null id is left out).
+    strings (a null id is left out). ``n_near`` is the number of proximity matches, ``near_items`` names their items
+    in the same way; exact matches are among them. Without ``slop`` these two columns are not made. Only exact
+    matches contaminate.
     """
     tests = test_windows(items, window)
     index = build_index(documents, tests)
@@ -145,23 +153,29 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     hits = merged.groupBy("rid").agg(
         F.sum(F.col("to") - F.col("from")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans")
     )
-    by_item = found.select("rid", "win").distinct().join(tests.items, "win").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
-    named = by_item.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    named = _named_items(found, tests, "items")
     rows = index.where(F.col("term_id") == 0).select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    return rows.join(hits.join(named, "rid", "left"), "rid", "left").select(
+    judged, near = rows.join(hits.join(named, "rid", "left"), "rid", "left"), []
+    if slop is not None:
+        close = materialize(proximity_matches(index, tests, slop), "near")
+        places = close.groupBy("rid").agg(F.count(F.lit(1)).alias("n_near"))
+        judged = judged.join(places.join(_named_items(close, tests, "near_items"), "rid", "left"), "rid", "left")
+        near = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
+    return judged.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         "spans",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *near,
     )
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate(docs, items).select(
+    return decontaminate(docs, items, slop=None).select(
         "doc_id",
         "n_words",
         "n_hit",

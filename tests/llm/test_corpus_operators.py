@@ -247,6 +247,14 @@ def test_proximity_matches(spark):
     assert {ids[r.rid] for r in decontam.proximity_matches(index, tests).collect()} == {1}
 
 
+def test_decontamination_returns_proximity_matches(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (None, "beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "gamma x beta y alpha"), (2, "alpha" + " x" * 30 + " beta"), (3, "alpha beta gamma delta"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r["items"], r.n_near, r.near_items) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (False, [], 2, ["1"]), 2: (False, [], 0, []), 3: (True, ["1", "2"], 3, ["1", "2"]), 4: (False, [], 0, [])}
+    assert decontam.decontaminate(docs, items, slop=None).columns == ["doc_id", "n_words", "n_hit", "spans", "items", "contaminated"]
+
+
 def _pipeline_by_hand(spark, docs):
     """The first three stages on plain Python rows (doc_id unique)."""
     from dealmill.llm.toxicity import fitted_model
