@@ -21,16 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Elements of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template iframe canvas audio video select datalist title mjx-assistive-mml ~annotation ~annotation-xml ~mphantom ~defs ~desc ~metadata ~symbol".split())
+HIDDEN = frozenset("head script style noscript template iframe canvas audio video select datalist title ~annotation ~annotation-xml ~mphantom ~defs ~desc ~metadata ~symbol".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math svg"
     " ~menclose ~merror ~mfrac ~mi ~mmultiscripts ~mn ~mo ~mover ~mpadded ~mroot ~mrow ~ms ~mspace ~msqrt ~mstyle ~msub ~msubsup ~msup ~mtable ~mtd ~mtext ~mtr ~munder ~munderover ~semantics"
     " ~circle ~ellipse ~g ~line ~path ~polygon ~polyline ~rect ~text ~textpath ~tspan ~use".split()
 )
-#: Formulas and drawings, in which "/>" closes an element and names with ~ are known, and classes of copies for screen readers.
+#: Formulas and drawings, in which "/>" closes an element and names with ~ are known.
 FOREIGN = frozenset("math svg".split())
-CLIPPED = frozenset("katex-mathml mjx_assistive_mathml".split())
 _OWN = frozenset(t[1:] for t in HIDDEN | INLINE if t[0] == "~")
 #: A start tag of these closes an open element of the set, up to the given bounds.
 CLOSES = {
@@ -39,6 +38,10 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 P_STAYS_IN = frozenset("button table td th caption object".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section"
+    " summary table ul".split()
+)
 
 # Words of class, id and role attributes that tell kinds of regions apart.
 CUES = {
@@ -57,36 +60,45 @@ TAGS = "article main section p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre table t
 KINDS = ("text", "flow", "region")
 _REGION = frozenset("article main nav header footer aside form section div body html table ul ol".split())
 FEATURES = [f"tag:{t}" for t in [*TAGS, "other"]] + [f"cue:{c}" for c in CUES] + [
-    "bias", "leaf", "leaf:log chars", "leaf:links", "leaf:short", "leaf:ends", "leaf:mark", "box:log chars", "box:links", "in article",
+    "bias", "leaf", "leaf:log chars", "leaf:links", "leaf:short", "leaf:ends", "leaf:mark", "leaf:share", "box:log chars", "box:links", "box:share", "box:sentences",
+    "in article", "in article:header", "in article:footer", "in article:aside", "beside article",
 ]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|data-truth)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-_MATH_END = re.compile(r"</math\s*>", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085\x1c-\x1f]+")
 _CUT = re.compile(r"[^a-z0-9]+")
 _MARKS = re.compile(r"[©®]|all rights reserved|cookie|subscribe|sign up|log in|advertis|sponsored", re.I)
 
 
+_ENDS = ".!?…\"”'’"
+_APART = frozenset(("nav", "foot", "side", "ad", "notice", "comment"))
+
+
 class Node:
-    __slots__ = ("tag", "cues", "parent", "kids", "text", "chars", "linked", "truth", "inside")
+    __slots__ = ("tag", "cues", "parent", "text", "chars", "linked", "sentences", "truth", "apart", "inside", "holds", "share", "beside")
 
     def __init__(self, tag: str, parent: Node | None, cues: tuple[str, ...] = (), text: str | None = None, linked: int = 0, truth: bool | None = None):
         self.tag, self.parent, self.cues, self.text, self.linked, self.truth = tag, parent, cues, text, linked, truth
-        self.kids, self.chars, self.inside = [], len(text) if text is not None else 0, False
-        if parent is not None:
-            parent.kids.append(self)
-            self.inside = parent.inside or tag in ("article", "main")
+        self.chars, self.sentences = (len(text), int(len(text) > 40 and text[-1] in _ENDS)) if text is not None else (0, 0)
+        up_apart, up_inside = (parent.apart, parent.inside) if parent is not None else (False, False)
+        self.apart = up_apart or tag in ("nav", "aside", "footer", "form") or not _APART.isdisjoint(cues)  # in a region of another kind
+        self.inside = up_inside or (tag in ("article", "main") and not self.apart)
+        self.holds, self.share, self.beside = self.inside and not up_inside, 0.0, False
 
 
 def parse(page: str) -> list[Node]:
     """The tree in document order (root first): block elements and runs of text, hidden content left out.
 
-    Character references are decoded, runs of white space are one space, runs without other characters vanish.
-    Unclosed and stray tags are handled as browsers do, in outline.
+    Hidden is what browsers don't show (scripts, styles, the attribute hidden, display: none) and what is marked
+    aria-hidden; of formulas that come twice, the one for screen readers is read. Character references are decoded,
+    runs of white space are one space, runs without other characters vanish. Unclosed and stray tags are handled
+    as browsers do, in outline.
     """
     root = Node("html", None)
-    nodes, stack = [root], [("html", root)]
+    nodes = [root]
+    stack = [("html", root, True, 0)]  # tag, node, shown, whether it hides what it holds
     hidden, links, foreign, run, linked = 0, 0, 0, [], 0
     pos, size = 0, len(page)
 
@@ -101,10 +113,10 @@ def parse(page: str) -> list[Node]:
 
     def pop_to(k: int) -> None:
         nonlocal hidden, links, foreign
-        if any(t not in INLINE and not (foreign and t in HIDDEN) for t, _ in stack[k:]):
+        if any(shown and t not in INLINE for t, _, shown, _ in stack[k:]):
             flush()
-        for t, _ in stack[k:]:
-            hidden -= t in HIDDEN or t == "#hidden"
+        for t, _, _, hides in stack[k:]:
+            hidden -= hides
             links -= t == "a"
             foreign -= t in FOREIGN
             if t == "~text" and not hidden:
@@ -142,7 +154,8 @@ def parse(page: str) -> list[Node]:
             if tag == "br" and not hidden:
                 run.append(" ")
             elif tag == "hr":
-                flush()
+                if not hidden:
+                    flush()
             continue
         if m[0].endswith("/>") and (foreign or tag in FOREIGN):
             continue
@@ -155,36 +168,23 @@ def parse(page: str) -> list[Node]:
                     pop_to(k)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        if tag not in INLINE and not (foreign and tag in HIDDEN):
+        if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in P_STAYS_IN:
                     break
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTR.findall(m[3])} if m[3] else {}
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-            hidden += 1
-            stack.append(("#hidden", stack[-1][1]))
-            stack.append((tag, stack[-1][1]))
-            stack.pop()
-            stack[-1] = (tag, stack[-1][1])
-            hidden -= 1
-            if tag not in HIDDEN:
-                attrs["class"] = attrs.get("class", "") + " popup"
-        else:
-            stack.append((tag, stack[-1][1]))
-        if tag in HIDDEN:
-            hidden += 1
-        elif tag == "a":
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTR.findall(m[3])} if m[3] and m[3] != "/" else {}
+        hides = int(tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attrs.get("style", ""))))
+        hidden += hides
+        stack.append((tag, stack[-1][1], not hidden, hides))
+        if tag == "a":
             links += 1
         elif tag in FOREIGN:
             foreign += 1
         elif tag == "~text" and not hidden:
             run.append(" ")
-        if m[3] and not CLIPPED.isdisjoint(attrs.get("class", "").lower().split()):
-            end = _MATH_END.search(page, pos)
-            pos = end.end() if end else pos
         if tag not in INLINE and not hidden:
             top = stack.pop()
             flush()
@@ -193,7 +193,7 @@ def parse(page: str) -> list[Node]:
             truth = {"1": True, "0": False}.get(attrs.get("data-truth"), top[1].truth)
             node = Node(tag, top[1], tuple(sorted(cues)), truth=truth)
             nodes.append(node)
-            stack.append((tag, node))
+            stack.append((tag, node, True, 0))
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
             if not end and tag not in ("script", "style", "textarea"):
@@ -207,6 +207,11 @@ def parse(page: str) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.sentences += node.sentences
+            node.parent.holds |= node.holds
+    for node in nodes:
+        node.share = node.chars / max(1, root.chars)
+        node.beside = root.holds and not node.inside and not node.holds
     return nodes
 
 
@@ -224,18 +229,25 @@ def _features(node: Node) -> dict[int, float]:
         out[_AT["leaf:links"]] = node.linked / len(t)
         if len(t) < 25:
             out[_AT["leaf:short"]] = 1.0
-        if t[-1] in ".!?…\"”'’":
+        if t[-1] in _ENDS:
             out[_AT["leaf:ends"]] = 1.0
-        if len(t) < 400 and _MARKS.search(t):
+        if len(t) < 400 and _MARKS.search(t):  # a mark of short texts: in long ones such words say nothing
             out[_AT["leaf:mark"]] = 1.0
+        out[_AT["leaf:share"]] = node.share
     else:
         out[_AT.get(f"tag:{node.tag}", _AT["tag:other"])] = 1.0
         for cue in node.cues:
             out[_AT[f"cue:{cue}"]] = 1.0
         out[_AT["box:log chars"]] = math.log1p(node.chars) / 5
         out[_AT["box:links"]] = node.linked / max(1, node.chars)
+        out[_AT["box:share"]] = node.share
+        out[_AT["box:sentences"]] = math.log1p(node.sentences) / 2
+        if node.inside and node.tag in ("header", "footer", "aside"):
+            out[_AT[f"in article:{node.tag}"]] = 1.0
     if node.inside:
         out[_AT["in article"]] = 1.0
+    if node.beside:
+        out[_AT["beside article"]] = 1.0
     return out
 
 
@@ -314,7 +326,7 @@ def extract(page: str, model: tuple[np.ndarray, np.ndarray]) -> str:
     return "\n".join(n.text for n, p in zip(nodes, marginals(nodes, *model), strict=True) if n.text is not None and p >= 0.5)
 
 
-def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
     """Made-up pages of many layouts with truth marked by data-truth; the model is trained on them."""
     rng = random.Random(seed)
     parts = ["ka", "lo", "mi", "ter", "en", "sol", "va", "qui", "dro", "ste", "un", "be", "chi", "ña", "ö", "ra", "pel", "tion"]
@@ -322,7 +334,9 @@ def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     said = lambda n: " ".join(words(3, 18).capitalize() + rng.choice([".", ".", ".", "?", "!", "%", ""]) for _ in range(n))
     link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
-    cls = lambda kind: (lambda w: rng.choice([f' class="{w}"', f' id="{w}"', f' class="x-{word()} {w}"', f' class="{w}-{word()}"']))(rng.choice(CUES[kind]))
+    named = True  # whether classes and ids of this page say what they mark
+    plain = lambda: rng.choice(["", "", f' class="{word()}"', f' id="{word()}"'])
+    cls = lambda kind: plain() if not named else (lambda w: rng.choice([f' class="{w}"', f' id="{w}"', f' class="x-{word()} {w}"', f' class="{w}-{word()}"']))(rng.choice(CUES[kind]))
 
     def para() -> str:
         text = said(rng.choice([1, 1, 2, 4, 8, 30])) if rng.random() < 0.9 else " ".join([word()] * rng.choice([1, 12, 150]))
@@ -333,7 +347,29 @@ def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
             text = text.replace(" ", f" {link()} ", 1)
         return f"<p>{text}" + ("</p>" if rng.random() < 0.85 else "")
 
+    def unseen() -> str:
+        return rng.choice([f"<p hidden>{said(1)}</p>", f'<div style="display:none"><p>{said(2)}</p></div>', f'<p aria-hidden="true">{words(1, 4)}</p>'])
+
+    def nested(text: str) -> str:
+        """Text in divs in place of paragraphs, some of them in further ones."""
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            text = f"<div{plain() if rng.random() < 0.3 else ''}>{text}</div>"
+        return text
+
+    def simple() -> str:
+        """Few, often short paragraphs, or divs without class."""
+        title = rng.choice(["", f"<h1>{words(1, 8).capitalize()}</h1>", f"<h2>{words(1, 8).capitalize()}</h2>", f"<header><h1>{words(2, 8).capitalize()}</h1></header>"])
+        parts, divs = [], rng.random() < 0.45
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6])):
+            text = said(rng.choice([1, 1, 2, 3, 6])) if rng.random() < 0.85 else words(3, 12)
+            parts.append(nested(text) if divs else f"<p>{text}</p>")
+        if rng.random() < 0.3:
+            parts.insert(rng.randint(0, len(parts)), unseen())
+        return title + "".join(parts)
+
     def body() -> str:
+        if rng.random() < 0.4:
+            return simple()
         out = [f"<h1>{words(1, 12).capitalize()}</h1>"] if rng.random() < 0.8 else []
         short = rng.random() < 0.15  # many short paragraphs
         for _ in range(rng.choice([12, 50]) if short else rng.choice([1, 1, 2, 4, 8, 16, 30])):
@@ -361,6 +397,11 @@ def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
 
     def junk(kind: str) -> str:
         t = 'data-truth="0"'
+        if kind == "links":  # a box of links without any name
+            tag, links = rng.choice(["div", "ul"]), [link() for _ in range(rng.randint(2, 9))]
+            rows = "".join(f"<li>{x}</li>" for x in links) if tag == "ul" or rng.random() < 0.4 else rng.choice([" ", " | ", "<br>"]).join(links)
+            lead = f"<h3>{words(1, 3)}</h3>" if tag == "div" and rng.random() < 0.4 else ""
+            return f"<{tag}{plain()} {t}>{lead}{rows}</{tag}>"
         if kind == "nav":
             tag = rng.choice(["nav", "nav", "div", "ul"])
             c = cls("nav") if tag != "nav" or rng.random() < 0.3 else ""
@@ -371,7 +412,7 @@ def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
         if kind == "foot":
             tag = rng.choice(["footer", "footer", "div"])
             c = cls("foot") if tag == "div" else ""
-            return f"<{tag}{c} {t}>" + rng.choice(["&copy; ", "Copyright ", ""]) + rng.choice([f"{word()}.example &middot; {said(rng.randint(1, 3))}", f"<p>{said(1)}</p>{link()}", f"{link()} | {link()}"]) + f"</{tag}>"
+            return f"<{tag}{c} {t}>" + rng.choice(["&copy; ", f"&copy; {rng.randint(1990, 2030)} ", "Copyright ", ""]) + rng.choice([f"{word()} {word()}. All rights reserved.", f"{word()}.example &middot; {said(rng.randint(1, 3))}", f"<p>{said(1)}</p>{link()}", f"{link()} | {link()}"]) + f"</{tag}>"
         if kind == "form":
             return f'<form action="/x" {t}><label>{words(1, 3)}</label><input name=q><button>{word()}</button><p>{said(1)}</p><select><option>{word()}</select></form>'
         if kind == "comment":
@@ -384,18 +425,29 @@ def labelled_pages(count: int = 200, seed: int = 23) -> list[str]:
 
     pages = []
     for _ in range(count):
-        wrap = rng.choice(["article", "article", "article", "main", "div", "section", "mainarticle", "plain"])
+        named = rng.random() < 0.6
+        wrap = rng.choice(["article", "article", "article", "main", "div", "section", "mainarticle", "plain", "body", "cell"])
         inner = body()
         story = {
             "mainarticle": f'<main data-truth="1"><article data-truth="1">{inner}</article></main>',
             "div": f'<div{cls("main")} data-truth="1">{inner}</div>',
             "section": f'<section{cls("main")} data-truth="1">{inner}</section>',
             "plain": f'<div data-truth="1">{inner}</div>',
+            "body": inner,
+            "cell": f'<table><tr><td data-truth="0">{rng.choice(["<br>", " ", " | "]).join(link() for _ in range(rng.randint(2, 7)))}</td><td>{inner}</td></tr></table>',
         }.get(wrap, f'<{wrap} data-truth="1">{inner}</{wrap}>')
-        before = [junk(k) for k in rng.sample(["nav", "head", "ad", "notice", "side"], rng.randint(1, 4))]
-        after = [junk(k) for k in rng.sample(["foot", "comment", "side", "ad", "nav", "share", "form", "notice"], rng.randint(1, 5))]
+        first = ["nav", "head", "ad", "notice", "side", "links"] if named else ["nav", "head", "links", "links"]
+        last = ["foot", "comment", "side", "ad", "nav", "share", "form", "notice", "links"] if named else ["foot", "foot", "form", "nav", "links", "links"]
+        bare = rng.random() < 0.2  # nothing but the story
+        before = [] if bare else [junk(k) for k in rng.sample(first, rng.randint(0, 4))]
+        after = [] if bare else [junk(k) for k in rng.sample(last, rng.randint(0, 5))]
         end = "</body></html>" if rng.random() < 0.85 else ""
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='</p>';</script></head><body data-truth=\"1\">{''.join(before)}{story}{''.join(after)}{end}")
+        whole = 'data-truth="1"'
+        if rng.random() < 0.04:
+            story, whole = "", 'data-truth="0"'
+        if rng.random() < 0.1:
+            before.insert(0, unseen())
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='</p>';</script></head><body {whole}>{''.join(before)}{story}{''.join(after)}{end}")
     return pages
 
 
