@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -67,7 +68,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; a few thousand terms at most."""
+    """What scoring needs. Its size is bounded by the labelled rows it was fitted on, not by the corpus."""
 
     weights: dict[str, float]
     exceptions: set[str] = field(default_factory=set)
@@ -124,6 +125,20 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def phrases_around(folded: str, hits: list[tuple[str, int, int]]) -> set[str]:
+    """The matched terms with either neighbour: whole words that one space parts from them."""
+    spans = [m.span() for m in _WORD.finditer(folded)] if hits else []
+    starts, ends, out = [a for a, _ in spans], [b for _, b in spans], set()
+    for term, a, b in hits:
+        k = bisect_left(ends, a - 1)
+        if k < len(ends) and ends[k] == a - 1 and folded[a - 1] == " ":
+            out.add(f"{folded[starts[k] : ends[k]]} {term}")
+        k = bisect_left(starts, b + 1)
+        if k < len(starts) and starts[k] == b + 1 and folded[b] == " ":
+            out.add(f"{term} {folded[starts[k] : ends[k]]}")
+    return out
+
+
 def _contexts(model: ToxicityModel):
     """For each labelled text: its feature, and its matched terms with either neighbour."""
 
@@ -133,12 +148,8 @@ def _contexts(model: ToxicityModel):
             xs, phrases = [], []
             for text in batch.column("text").to_pylist():
                 folded, words, hits = match(text or "")
-                around = set()
-                for term, a, b in hits:
-                    before, after = _WORD.findall(folded[max(0, a - 40) : a])[-1:], _WORD.findall(folded[b : b + 40])[:1]
-                    around |= {f"{w} {term}" for w in before if folded[:a].endswith(f"{w} ")} | {f"{term} {w}" for w in after if folded[b:].startswith(f" {w}")}
                 xs.append(model.feature(words, hits))
-                phrases.append(sorted(around))
+                phrases.append(sorted(phrases_around(folded, hits)))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(phrases, pa.list_(pa.string())), batch.column("label")], ["x", "phrases", "label"])
 
     return run
@@ -157,10 +168,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(beta[0]), float(max(beta[1], 0.05))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 4_000, min_docs: int = 8, min_z: float = 7.0) -> ToxicityModel:
-    """Fits on at most ``sample`` labelled documents, drawn by a digest of doc_id; keeps at most ``lexicon`` terms.
+def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000, min_docs: int = 8, min_z: float = 7.0) -> ToxicityModel:
+    """Fits on at most ``sample`` labelled documents, drawn by a digest of doc_id, which bounds the model as well.
 
-    ``labels`` has doc_id and toxic (0/1) of the rows that may be learned from. Null labels and ids are left
+    All terms and exception phrases that pass the thresholds are kept. ``labels`` has doc_id and toxic (0/1) of the rows that may be learned from. Null labels and ids are left
     out; of repeated labels the largest counts, of repeated documents one. Without any, the seeds stand.
     """
     drawn = (
@@ -179,7 +190,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000,
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     seeds = sorted({fold(t) for t in SEED_TERMS})
     learned = terms.where(((F.col("toxic") >= min_docs) & (z >= min_z) & (odds > math.log(4)) & (F.char_length("term") >= 3)) | F.col("term").isin(seeds))
-    found = learned.orderBy((~F.col("term").isin(seeds)).cast("int"), z.desc(), "term").limit(lexicon).collect()
+    found = learned.collect()  # bounded by the sample
     weights = {t: 2.0 for t in seeds}
     for r in found:  # a seed counts as seen in one toxic text more
         own = r["toxic"] + (r["term"] in weights)
@@ -188,7 +199,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000,
     if n_toxic and n_clean:
         around = materialize(rows.mapInArrow(_contexts(model), "x double, phrases array<string>, label int"), "toxicity-contexts")
         harmless = around.select(F.explode("phrases").alias("phrase"), "label").groupBy("phrase").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("toxic"), F.count("*").alias("n"))
-        harmless = harmless.where((F.col("toxic") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n"), "phrase").limit(lexicon)
+        harmless = harmless.where((F.col("toxic") == 0) & (F.col("n") >= 5))
         model.exceptions |= {r["phrase"] for r in harmless.collect()}
         fitted = rows.mapInArrow(_contexts(model), "x double, phrases array<string>, label int").select("x", "label").toPandas()  # at most ``sample`` rows
         model.bias, model.slope = _logistic(fitted["x"].to_numpy(), (fitted["label"] > 0).to_numpy(float))
@@ -219,7 +230,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_harmless(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows whose text scores below 0.5, with all their columns."""
+    """The rows whose text scores below 0.5, with all their columns, whole texts scored.
+
+    Null and empty texts score as texts without matches and stay; repeated rows stay each; an empty table stays
+    empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()

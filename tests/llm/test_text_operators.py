@@ -101,6 +101,46 @@ def test_toxicity_scores_edge_rows_and_keeps_columns(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def _naive_hits(model, text):
+    """Places of terms in the folded text, found one by one, outside exception phrases."""
+    folded = toxicity.fold(text or "")
+
+    def places(term):
+        for a in range(len(folded) - len(term) + 1):
+            b = a + len(term)
+            if folded[a:b] == term and not folded[a - 1 : a].isalpha() and not folded[b : b + 1].isalpha():
+                yield a, b
+
+    spared = [p for e in model.exceptions for p in places(e)]
+    return folded, sorted((t, a, b) for t in model.weights for a, b in places(t) if not any(x <= a and b <= y for x, y in spared))
+
+
+def test_toxicity_matches_against_brute_force():
+    rng, model = random.Random(4), toxicity.ToxicityModel({toxicity.fold(t): 1.0 for t in toxicity.SEED_TERMS}, {toxicity.fold(t) for t in toxicity.SEED_EXCEPTIONS})
+    pieces = [*toxicity.SEED_TERMS, *toxicity.SEED_EXCEPTIONS, "1d10t", "tr@sh", "can", "y" * 60, "é", "x-", "_", "."]
+    match = model.matcher()
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", " ", "  ", "", "\n"]) for _ in range(rng.randint(0, 25)))
+        folded, hits = _naive_hits(model, text)
+        assert match(text)[0] == folded and sorted(match(text)[2]) == hits
+        want = {f"{w} {t}" for t, a, _ in hits for w in toxicity._WORD.findall(folded[:a])[-1:] if folded[:a].endswith(f"{w} ")}
+        want |= {f"{t} {w}" for t, _, b in hits for w in toxicity._WORD.findall(folded[b:])[:1] if folded[b:].startswith(f" {w}")}
+        assert toxicity.phrases_around(folded, hits) == want
+
+
+def test_toxicity_query_against_brute_force(spark):
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fitted_model(docs, DATA)
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.QUERIES["op4_toxicity"](spark, DATA).collect()}
+    for r in docs.collect():
+        folded, hits = _naive_hits(model, r.text)
+        x = sum(model.weights[t] for t, _, _ in hits) / math.sqrt(1 + len(toxicity._WORD.findall(folded)) / model.per_words)
+        score = 1 / (1 + math.exp(-(model.bias + model.slope * x)))
+        assert got[r.doc_id] == (pytest.approx(score), int(score >= 0.5))
+
+
 def test_toxicity_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = queries.QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").toPandas()
@@ -247,6 +287,68 @@ def test_html_article_text():
     assert html_extract.extract(PAGE, html_extract.default_model()) == "The title & more\nFirst bold text here.\nSecond <p> paragraph, with more words in it.\none point made\ntwo points made"
 
 
+SAID = ["The council met on Tuesday to discuss the new bridge.", "It will cost ninety million and open in four years, said the mayor of the town.", "Critics doubt that figure.", "Work begins in May."]
+LONG = "The council met on Tuesday evening to discuss the new bridge over the river, which is to cost ninety million and open in May."
+LINKS = '<div><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">Sports today</a></div>'
+SIMPLE = {
+    "one paragraph": (f"<html><body><article><p>{LONG}</p></article></body></html>", [LONG]),
+    "divs beside a link box": (f"<html><body>{LINKS}<div>{''.join(f'<div>{x}</div>' for x in [LONG, LONG, *SAID[:2]])}</div></body></html>", [LONG, LONG, *SAID[:2]]),
+    "divs of the body": (f"<html><body>{LINKS}{''.join(f'<div>{x}</div>' for x in [LONG, LONG, *SAID[:2]])}</body></html>", [LONG, LONG, *SAID[:2]]),
+    "hidden paragraph": (f"<article><h1>New bridge</h1><p>{SAID[0]}</p><p hidden>Not shown at all.</p><p>{SAID[2]}</p></article>", ["New bridge", SAID[0], SAID[2]]),
+    "hidden in line": ('<article><p>The bridge <span aria-hidden="true">XX</span>opens in the month of <span style="display: none">no</span>May.</p></article>', ["The bridge opens in the month of May."]),
+    "attributes that hide nothing": (f'<article><p data-hidden="1" title="the hidden truth" data-class="nav">{SAID[0]}</p></article>', [SAID[0]]),
+    "no body": (f"<p>{SAID[0]}</p><p>{SAID[1]}</p>", SAID[:2]),
+    "no tags": (LONG, [LONG]),
+    "deep divs": (f"<div><div><div><h2>Bridge</h2><div><div>{SAID[0]}</div><div>{SAID[1]}</div></div></div></div><div><ul><li><a href=/x>One more</a></li><li><a href=/y>Two more</a></li></ul></div></div>", ["Bridge", *SAID[:2]]),
+    "main and frame": (f"<header><a href=/>Site</a></header><main><h1>Bridge</h1><p>{SAID[3]}</p></main><footer>(c) 2020 Site</footer>", ["Bridge", SAID[3]]),
+    "header of the article": (f"<article><header><h1>Bridge news</h1></header><p>{SAID[0]} {SAID[1]}</p><footer><a href=/s>Share</a></footer></article>", ["Bridge news", f"{SAID[0]} {SAID[1]}"]),
+    "comments as articles": (f'<nav><a href=/>Home</a></nav><div id=content><h1>Bridge</h1><p>{SAID[0]}</p></div><div class="comments"><h3>Comments</h3><article><p>I think this is a great idea.</p></article></div><footer><p>Copyright 2020.</p></footer>', ["Bridge", SAID[0]]),
+    "table layout": (f"<table><tr><td><a href=/1>Home</a><br><a href=/2>Shop</a></td><td><h1>Bridge</h1><p>{SAID[0]}</p><p>{SAID[1]}</p></td></tr></table>", ["Bridge", *SAID[:2]]),
+    "notice and side": (f'<div class="cookie-banner"><p>We use cookies to improve our site.</p></div><article><p>{SAID[0]}</p></article><aside><p>Read this other story of ours today.</p></aside>', [SAID[0]]),
+    "script in a paragraph": ("<article><p>Hello there my <script>var x</script> friend, this is a test of it.</p></article>", ["Hello there my friend, this is a test of it."]),
+    "list": ("<article><h1>Steps</h1><ol><li>Open it.</li><li>Close it.</li></ol></article>", ["Steps", "Open it.", "Close it."]),
+    "menu only": ("<nav><ul><li><a href=/>Home</a></li></ul></nav>", []),
+    "names that say nothing": (f'<div class="zq"><a href=/1>Alpha</a><a href=/2>Beta</a></div><div class="kk"><h1>Bridge</h1>{"".join(f"<p>{x}</p>" for x in SAID)}</div><div class="pp">&copy; 2021 Alpha Media. All rights reserved.</div>', ["Bridge", *SAID]),
+    "section and form": (f"<section><h2>Bridge</h2><p>{SAID[0]}</p></section><form><label>Search</label><input><button>Go</button></form>", ["Bridge", SAID[0]]),
+}
+
+
+@pytest.mark.parametrize("name", SIMPLE)
+def test_html_simple_pages(name):
+    page, want = SIMPLE[name]
+    assert html_extract.extract(page, html_extract.default_model()).split("\n") == (want or [""])
+
+
+def _unlike_pages(count, seed):
+    """Pages with their main text, of real words and without any of the cue words the model knows; parts may be hidden."""
+    rng = random.Random(seed)
+    lexicon = "river bridge council engine market paper winter garden number morning window doctor season letter summer village silver copper report teacher".split()
+    sentence = lambda: (" ".join(rng.choices(lexicon, k=rng.randint(5, 16))).capitalize() + rng.choice("..?!"))
+    label = lambda: " ".join(rng.choices(lexicon, k=rng.randint(1, 2))).title()
+    name = lambda: rng.choice(["", ' class="q7"', ' id="z1"', ' class="col wide"'])
+    for _ in range(count):
+        said = [" ".join(sentence() for _ in range(rng.choice([1, 1, 2, 4]))) for _ in range(rng.randint(1, 6))]
+        title, tag, wrap = label(), rng.choice(["p", "p", "div"]), rng.choice(["article", "main", "div", "section"])
+        story = f"<{wrap}{name()}><h1>{title}</h1>" + "".join(f"<{tag}>{x}</{tag}>" + rng.choice(["", "", "", "<p hidden>Unseen words of it.</p>"]) for x in said) + f"</{wrap}>"
+        links = lambda: "".join(f'<li><a href="/{i}">{label()}</a></li>' for i in range(rng.randint(2, 8)))
+        head = rng.choice(["", f"<nav><ul>{links()}</ul></nav>", f"<div{name()}><ul>{links()}</ul></div>", f"<header><a href=/>{label()}</a></header>"])
+        tail = rng.choice(["", f"<footer>&copy; 2024 {label()}</footer>", f"<footer><a href=/t>{label()}</a> | <a href=/p>{label()}</a></footer>", f"<aside><h3>{label()}</h3><ul>{links()}</ul></aside>"])
+        yield f"<html><body>{head}{story}{tail}</body></html>", "\n".join([title, *said])
+
+
+def test_html_text_of_unlike_pages():
+    pages = list(_unlike_pages(300, 9))
+    assert sum(html_extract.extract(page, html_extract.default_model()) == want for page, want in pages) >= 0.95 * len(pages)
+
+
+def test_html_query_returns_the_articles_of_the_table(spark):
+    """Pages of the table hold one article each: its runs of text, whole, and nothing else."""
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.QUERIES["op10_extract"](spark, DATA).collect()}
+    want = {i: "\n".join(n.text for n in html_extract.parse(h) if n.text is not None and n.inside) for i, h in html.items()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_html_formulas_drawings_and_fallbacks_are_text():
     page = lambda body: f"<html><body><nav><a href=/a>Home</a></nav><article><p>Some words stand before all of this text.</p>{body}<p>Some words stand behind all of it.</p></article></body>"
     said = lambda body: html_extract.extract(page(body), html_extract.default_model()).split("\n")[1:-1]
