@@ -6,7 +6,8 @@ template words one at least is in it. The places in the text of the words that a
 in each window text and template are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between anchors are aligned in the same way, short gaps without
 unique words by their longest common subsequence. Then words move next to the longest unbroken row of the
-alignment, and outer words go until the rest is dense enough. Words that tell a license from others (names and
+alignment, and outer words go until the rest is dense enough. A window without a match is aligned again closer
+around each of its starts. Words that tell a license from others (names and
 versions) have to be in the match, and a word that makes a variant of it (lesser, SA) must not be.
 """
 
@@ -56,6 +57,35 @@ TEMPLATES = {
         "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
         "notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MIT-disclaimer": (
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a '
+        "particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action "
+        "of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
+        "source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+    "BSD-disclaimer": (
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties '
+        "of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, "
+        "incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or "
+        "business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any "
+        "way out of the use of this software, even if advised of the possibility of such damage."
+    ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
         "source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -159,7 +189,7 @@ class Scanner:
         self.coverage = coverage
         self.templates = {k: _WORD.findall(v.lower()) for k, v in (templates or TEMPLATES).items()}
         self.vocab = {k: Counter(v) for k, v in self.templates.items()}
-        self.telling = {k: {w for w in v if w in NAMES or _version(w)} for k, v in self.templates.items()}
+        self.telling = {k: {w for w in v if w in NAMES or w in VARIANTS or _version(w)} for k, v in self.templates.items()}
 
     def scan(self, text: str) -> list[Match]:
         """Matches of all templates; those of one template don't overlap, better and earlier ones first chosen."""
@@ -187,13 +217,18 @@ class Scanner:
         n = len(template)
         rare = sorted(range(n), key=lambda j: (len(places.get(template[j], ())), j))[: n - least + 1]
         starts = sorted({i - j for j in rare for i in places.get(template[j], ())})
-        slack, found, seen = n // 2 + 2, [], -1
-        for s in starts:
-            if s <= seen:  # starts close by share a window
-                continue
-            seen = s + slack // 2
+        slack, tight, found, k = n // 2 + 2, n - least, [], 0
+        while k < len(starts):
+            s, first = starts[k], k
+            while k < len(starts) and starts[k] <= s + slack // 2:  # starts close by share a window
+                k += 1
             lo, hi = max(0, s - slack), min(len(words), s + n + slack + slack // 2)
-            found += self._dense(words, lo, hi, name, template, least)
+            got = self._dense(words, lo, hi, name, template, least)
+            for s in starts[first:k] if not got else ():  # other words of the template around may hide a match in a wide window
+                if s > -n:
+                    got += self._dense(words, max(0, s - tight), min(len(words), s + n + tight), name, template, least)
+                    got += self._dense(words, max(0, s), min(len(words), s + n), name, template, least)
+            found += got
         taken, out = [], []
         for got, a, b in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):
             if all(b < x or y < a for x, y in taken):

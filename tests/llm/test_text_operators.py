@@ -191,6 +191,30 @@ def test_license_whole_notices_are_found_behind_their_own_words():
                 assert got.issuperset(at), (name, text)
 
 
+def test_license_scan_against_all_stretches():
+    """Every stretch that holds enough of a template, densely, meets a match; whole notices side by side are found each."""
+    rng, template = random.Random(11), "alpha beta gamma delta beta epsilon zeta eta theta iota".split()
+    scanner, missed, n = licenses.Scanner({"T": " ".join(template)}), 0, 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [w for w in template if rng.random() > rng.choice([0, 0, 0.1, 0.3])] + rng.choices([*template, "x", "y"], k=rng.choice([0, 0, 3, 15]))
+        text = " ".join(words)
+        at_word = [len(" ".join(words[:a])) + (a > 0) for a in range(len(words))]
+        got = [(m.start, m.end) for m in scanner.scan(text)]
+        for a in range(len(words)):
+            for b in range(a + 8, min(len(words), a + 12) + 1):
+                common = _longest_common(words[a:b], template)
+                if common >= 8 and common >= 0.8 * (b - a):
+                    n, at = n + 1, (at_word[a], len(" ".join(words[:b])))
+                    missed += not any(x < at[1] and at[0] < y for x, y in got)
+    assert n > 500 and missed <= 0.01 * n
+    for name, own in {**scanner.templates, **licenses.Scanner().templates}.items():
+        one, k = licenses.Scanner() if name != "T" else scanner, rng.randint(2, 4)
+        for between in ([], ["w"] * 25, rng.choices("license the software this of and".split(), k=25)):
+            assert sum(m.matched == len(own) for m in one.scan(" ".join([*own, *between] * k)) if m.license == name) == k, name
+
+
 def test_license_scan_tells_licenses_apart():
     found = lambda text: {m.license for m in licenses.Scanner().scan(text)}
     gpl, cc = "This work is licensed under the GNU General Public License", "This work is licensed under a Creative Commons Attribution"
