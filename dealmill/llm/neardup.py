@@ -1,16 +1,18 @@
 """MinHash near-duplicate detection with tensored banding, candidates verified on full sets.
 
 A text is its set of distinct five-word shingles (64-bit digests). Two small collections of ``m`` half keys, of
-two minhashes each, are computed; a table key is a pair (A_i, B_j), so 4m minhashes serve m * m tables of four
+four minhashes each, are computed; a table key is a pair (A_i, B_j), so 8m minhashes serve m * m tables of eight
 concatenated minhashes. Two texts share a table exactly if they share some A_i and some B_j; half keys that
-nobody shares are therefore dropped before pairs are formed, which loses nothing. At similarity 0.75 a pair is
-missed with probability 2 * (1 - 0.75^2)^m, 0.0001 for m = 12; more similar pairs are missed far less.
+nobody shares are therefore dropped before pairs are formed, which loses nothing. At similarity s a pair shares a
+table with probability (1 - (1 - s^4)^m)^2: for m = 24 it is missed at 0.75 with probability 0.0002, and met at
+0.3 with probability 0.03.
 
 Exact copies (equal word sequences) are represented by their smallest doc_id. Texts that share tables fall into
-coarse groups. Inside a group, blocks of members are compared with one another: first by all minhashes, where
-only pairs that may reach the threshold join the texts into finer groups, then on the full shingle sets. Each
-comparison of two blocks gives out a spanning forest of the links it found, never all pairs, so a group of any
-size has output in proportion to its members and no task holds more than two blocks.
+coarse groups. Members of a group are compared first by all minhashes, where only pairs that may reach the
+threshold join the texts into finer groups, then on the full shingle sets. A group of more than one block is
+first held against a few heads of its own; those linked with the most popular head are one bulk already, and only
+the rest is compared, with itself and with the bulk, two blocks in a task. Each comparison gives out a spanning
+forest of the links it found, never all pairs, so a group of any size has output in proportion to its members.
 """
 
 from __future__ import annotations
@@ -23,53 +25,85 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import in_slices, materialize
+from dealmill.llm.common import in_slices, join_spread, materialize, settled
 from dealmill.llm.components import connected_components
 
 SHINGLE = 5
+#: Minhashes of a half key.
+ROWS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 
 
-@functools.lru_cache(maxsize=1)
-def _word_ids() -> dict[bytes, int]:
-    return {}
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and an odd one for each of the first places in a word."""
+    rng = np.random.default_rng(17)
+    return rng.integers(0, 2**64, 256, dtype=np.uint64), rng.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct digests of the k-word shingles; of the whole sequence if it has fewer words; else empty.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD
+    return x ^ (x >> np.uint64(29))
 
-    bytes.split() and bytes.lower() work on ASCII alone, as the definition of words asks.
+
+def word_digests(raw: bytes) -> np.ndarray:
+    """Digests of the words of lower-cased bytes, in their order: sums over a word's bytes, each by its place."""
+    by_byte, by_place = _tables()
+    b = np.frombuffer(raw, np.uint8)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    size = edge[1::2] - edge[0::2]
+    if not len(size):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    factor = by_place[place & 4095] if size.max() <= 4096 else by_place[place & 4095] * (_mixed((place >> 12).astype(np.uint64)) | np.uint64(1))
+    return _mixed(np.add.reduceat(by_byte[b[~gap]] * factor, first) + size.astype(np.uint64))
+
+
+def text_digests(text: str | None, piece: int = 1 << 20) -> np.ndarray:
+    """Digests of a text's words; a long text is cut at white space and gone through in pieces.
+
+    bytes.lower() works on ASCII alone, as the definition of words asks.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
+    raw, out, lo = (text or "").encode().lower(), [], 0
+    while lo < len(raw):
+        hi = lo + piece
+        while hi < len(raw) and raw[hi] not in b" \t\n\x0b\x0c\r":
+            hi += 1
+        out.append(word_digests(raw[lo:hi]))
+        lo = hi
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_hashes(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct digests of the k-word shingles; of the whole sequence if it has fewer words; else empty."""
+    if not len(ids):
         return np.empty(0, np.uint64)
-    known = _word_ids()
-    if len(known) > 100_000:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(k, len(ids))
     h = np.full(len(ids) - size + 1, size, np.uint64)
     for i in range(size):
         h = (h ^ ids[i : len(ids) - size + 1 + i]) * _ODD
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def _multipliers(n: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@functools.cache
+def _permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None], rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
 
 
 def minhashes(shingles: np.ndarray, n: int) -> np.ndarray:
     """n minhashes of 32 bits; a long set is gone through in pieces."""
-    mult, best = _multipliers(n), np.full(n, np.iinfo(np.uint32).max, np.uint32)
-    for lo in range(0, len(shingles), 4096):
-        part = shingles[lo : lo + 4096]
-        best = np.minimum(best, (((part ^ (part >> np.uint64(32)))[None, :] * mult[:, None]) >> np.uint64(32)).astype(np.uint32).min(1))
+    factor, shift = _permutations(n)
+    x, best = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32), np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(x), 2048):
+        best = np.minimum(best, (x[None, lo : lo + 2048] * factor + shift).min(1))
     return best
 
 
@@ -81,8 +115,9 @@ def _sign(n_hashes: int):
         for batch in in_slices(batches):
             words, sizes, sigs = [], [], []
             for text in batch.column("text").to_pylist():
-                shingles = shingle_hashes(text)
-                words.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
+                ids = text_digests(text)
+                shingles = shingle_hashes(ids)
+                words.append(xxhash.xxh3_128_digest(ids.tobytes()))
                 sizes.append(len(shingles))
                 sigs.append(minhashes(shingles, n_hashes).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
@@ -93,34 +128,34 @@ def _sign(n_hashes: int):
 
 
 def _half_keys(m: int):
-    """doc_id to its 2m half keys, each of two minhashes and its own place."""
+    """doc_id to its 2m half keys, each of ROWS minhashes and its own place; the lowest bit tells the collection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 4096):
             n = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, 4 * m).astype(np.uint64)
-            keys = (sig[:, 0::2] << np.uint64(32)) | sig[:, 1::2]
-            keys = (keys ^ (np.arange(2 * m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]) * _ODD
-            ids = np.repeat(np.asarray(batch.column("doc_id")), 2 * m)
-            side = np.tile(np.arange(2 * m, dtype=np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(keys.reshape(-1).view(np.int64))], ["doc_id", "half", "key"])
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, 2 * m, ROWS).astype(np.uint64)
+            keys = np.broadcast_to(np.arange(2 * m, dtype=np.uint64), (n, 2 * m))
+            for i in range(ROWS):
+                keys = _mixed(keys ^ (sig[:, :, i] << np.uint64(16)))
+            keys = (keys & ~np.uint64(1)) | (np.arange(2 * m) >= m).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc_id")), 2 * m)), pa.array(keys.reshape(-1).view(np.int64))], ["doc_id", "key"])
 
     return run
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key more than one row has."""
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "key", "left_semi")
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose key more than one row has. The keys are written, so that the rows of a hot key can be split."""
+    often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), name)
+    return rows.join(often, "key", "left_semi")
 
 
 def table_keys(signed: DataFrame, m: int) -> DataFrame:
     """doc_id, key: the shared keys of the m * m tables."""
-    halves = _shared(materialize(signed.select("doc_id", "sig").mapInArrow(_half_keys(m), "doc_id long, half int, key long"), "halves"))
-    sides = halves.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("half") < m, F.struct("half", "key"))).alias("a"), F.collect_list(F.when(F.col("half") >= m, F.struct("half", "key"))).alias("b")
-    )
+    halves = _shared(materialize(signed.select("doc_id", "sig").mapInArrow(_half_keys(m), "doc_id long, key long"), "halves"), "shared-halves")
+    side = F.col("key").bitwiseAND(1)
+    sides = halves.groupBy("doc_id").agg(F.collect_list(F.when(side == 0, F.col("key"))).alias("a"), F.collect_list(F.when(side == 1, F.col("key"))).alias("b"))
     pairs = sides.where((F.size("a") > 0) & (F.size("b") > 0)).select("doc_id", F.explode("a").alias("a"), "b").select("doc_id", "a", F.explode("b").alias("b"))
-    return _shared(materialize(pairs.select("doc_id", F.xxhash64("a.half", "a.key", "b.half", "b.key").alias("key")), "tables"))
+    return _shared(materialize(pairs.select("doc_id", F.xxhash64("a", "b").alias("key")), "tables"), "shared-tables")
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
@@ -128,9 +163,10 @@ def _stars(keyed: DataFrame) -> DataFrame:
 
     A document is tied to the smallest head (smallest id of a key) among its keys; then, for each key, the heads
     that its members are tied to are tied to the smallest of them. Members of a large group mostly have one head
-    in common, so a group of any size adds few edges beyond one for each member.
+    in common, so a group of any size adds few edges beyond one for each member. Heads are written before they are
+    joined, so that the rows of a hot key can be split.
     """
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"))
+    heads = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
     tied = materialize(keyed.join(heads, "key").groupBy("doc_id").agg(F.min("head").alias("head")), "tied")
     by_key = materialize(keyed.join(tied, "doc_id").select("key", "head").distinct(), "heads-by-key")
     tops = by_key.groupBy("key").agg(F.min("head").alias("top"))
@@ -158,92 +194,147 @@ def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int,
     return out
 
 
-def _pairwise(left: list, right: list, diagonal: bool, links) -> list[tuple[int, int]]:
-    """Links as indices into left + right; links(x, ys) says which of ys are linked with x."""
-    both = left if diagonal else left + right
-    off = 0 if diagonal else len(left)
-
-    def pairs():
-        for i, x in enumerate(left):
-            lo = i + 1 if diagonal else 0
-            ys = (left if diagonal else right)[lo:]
-            if ys:
-                yield i, np.flatnonzero(links(x, ys, lo)) + lo + off
+class Signatures:
+    """Compares packed minhashes: a pair is linked if at least ``least`` of them agree."""
 
-    return _forest(len(both), pairs())
+    def __init__(self, n_hashes: int, least: int):
+        self.n_hashes, self.least = n_hashes, least
 
+    def __call__(self, data: list[bytes], right: np.ndarray):
+        """links(i, from): which of right[from:] are linked with i; numbers are places in ``data``."""
+        sigs = np.frombuffer(b"".join(data), np.uint32).reshape(len(data), self.n_hashes)
+        other = sigs[right]
+        return lambda i, at: (other[at:] == sigs[i]).sum(1) >= self.least
 
-def _compare_sigs(n_hashes: int, least: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id"]).sort_values(["block", "doc_id"])
-        ids = pdf["doc_id"].to_numpy()
-        sigs = np.frombuffer(b"".join(pdf["data"]), np.uint32).reshape(len(pdf), n_hashes)
-        lo, hi = int(key[1]), int(key[2])
-        left = list(np.flatnonzero((pdf["block"] == lo).to_numpy()))
-        right = [] if lo == hi else list(np.flatnonzero((pdf["block"] == hi).to_numpy()))
-        place = left if lo == hi else left + right
-        found = _pairwise(left, right, lo == hi, lambda x, ys, _: (sigs[ys] == sigs[x]).sum(1) >= least)
-        return pd.DataFrame({"a": [ids[place[i]] for i, _ in found], "b": [ids[place[j]] for _, j in found]}, dtype="int64")
 
-    return run
+class Sets:
+    """Compares packed shingle sets: linked if 100 * intersection >= percent * union."""
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def _compare_sets(percent: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id"]).sort_values(["block", "doc_id"])
-        ids, blocks = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["data"]]
-        sizes = np.array([len(s) for s in sets])
-        lo, hi = int(key[1]), int(key[2])
-        left = list(np.flatnonzero(blocks == lo))
-        right = [] if lo == hi else list(np.flatnonzero(blocks == hi))
-        place = left if lo == hi else left + right
+    def __call__(self, data: list[bytes], right: np.ndarray):
+        sets = [np.frombuffer(x, np.uint64) for x in data]
+        sizes = np.array([len(x) for x in sets], int)
         # intersection sizes of one set with all others at once, by the members that hold each shingle
-        other = left if lo == hi else right
-        members = np.repeat(np.arange(len(other)), sizes[other]) if other else np.empty(0, int)
-        held = np.concatenate([sets[k] for k in other]) if other else np.empty(0, np.uint64)
+        members = np.repeat(np.arange(len(right)), sizes[right]) if len(right) else np.empty(0, int)
+        held = np.concatenate([sets[k] for k in right]) if len(right) else np.empty(0, np.uint64)
         order = np.argsort(held, kind="stable")
         held, members = held[order], members[order]
 
-        def linked(x, ys, lo_at):
-            a, b = np.searchsorted(held, sets[x], "left"), np.searchsorted(held, sets[x], "right")
+        def linked(i: int, at: int) -> np.ndarray:
+            a, b = np.searchsorted(held, sets[i], "left"), np.searchsorted(held, sets[i], "right")
             n = b - a
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            common = np.bincount(members[at], minlength=len(other))[lo_at:]
-            return 100 * common >= percent * (sizes[x] + sizes[ys] - common)
+            where = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(members[where], minlength=len(right))[at:]
+            return 100 * common >= self.percent * (sizes[i] + sizes[right[at:]] - common)
+
+        return linked
+
 
-        found = _pairwise(left, right, lo == hi, linked)
-        return pd.DataFrame({"a": [ids[place[i]] for i, _ in found], "b": [ids[place[j]] for _, j in found]}, dtype="int64")
+def _between(measure):
+    """A task with one or two blocks of a group (block lo, block hi): edges a, b of a spanning forest of its links."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["doc_id"]).sort_values(["block", "doc_id"])
+        ids, blocks, lo, hi = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy(), int(key[1]), int(key[2])
+        left = np.flatnonzero(blocks == lo)
+        right = left if lo == hi else np.flatnonzero(blocks == hi)
+        links = measure(list(pdf["data"]), right)
+
+        def pairs():
+            for k, i in enumerate(left):
+                at = k + 1 if lo == hi else 0
+                if at < len(right):
+                    yield i, right[at:][links(i, at)]
+
+        found = _forest(len(pdf), pairs())
+        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
 
     return run
 
 
-def _by_blocks(rows: DataFrame, compare, block: int) -> DataFrame:
-    """Edges a, b that ``compare`` finds among rows (grp, doc_id, data), each group in pairs of blocks.
+def _to_heads(measure):
+    """A block of members and the group's heads: doc_id with its first head that it is linked with, or null."""
+
+    def run(key, members: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        members, heads = members.drop_duplicates(["doc_id"]), heads.sort_values("doc_id")
+        ids, first = members["doc_id"].to_numpy(), np.full(len(members), -1)
+        links = measure([*members["data"], *heads["data"]], np.arange(len(members)))
+        for k in range(len(heads)):
+            hit = links(len(members) + k, 0)
+            first[hit & (first < 0)] = k
+        names = heads["doc_id"].to_numpy()
+        return pd.DataFrame({"grp": int(key[0]), "doc_id": ids, "head": pd.array([int(names[k]) if k >= 0 else None for k in first], dtype="Int64")})
+
+    return run
+
+
+def _group_sizes(rows: DataFrame) -> DataFrame:
+    """The rows with ``n``, their group's size. A hot group's rows meet nowhere: they are counted part by part."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(512)))
+    counts = dealt.groupBy("grp", "_part").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select("grp", "_part", F.sum("c").over(W.partitionBy("grp")).alias("n"))
+    return dealt.join(counts, ["grp", "_part"]).drop("_part")
 
-    A group's members are dealt to about size / block blocks by a digest of their id.
-    """
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
-    met = dealt.select("grp", "doc_id", "data", "block", F.explode(others).alias("p")).select("grp", "p.lo", "p.hi", "doc_id", "block", "data")
-    return met.groupBy("grp", "lo", "hi").applyInPandas(compare, "a long, b long")
 
+def links_in_groups(rows: DataFrame, measure, block: int, n_heads: int = 8) -> DataFrame:
+    """Edges a, b that connect what ``measure`` links among rows (grp, doc_id, data), inside groups.
 
-def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 12, block: int = 512) -> DataFrame:
+    Groups of one block are compared in a task. In a larger one, blocks of members are held against ``n_heads``
+    members drawn by a digest; all linked with the head that has most of them are the bulk. What is left (the rest)
+    is compared with itself and with the bulk, pair of blocks by pair of blocks, so no link between two texts that
+    are not yet connected is lost. The work on a group is its size times its rest; only a group most of whose
+    members are linked with no head costs the square of its size.
+    """
+    out = "a long, b long"
+    sized = materialize(_group_sizes(rows), "grouped")
+    whole = sized.where(F.col("n") <= block).select("grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "doc_id", F.lit(0).alias("block"), "data")
+    small = whole.groupBy("grp", "lo", "hi").applyInPandas(_between(measure), out)
+    large = sized.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    if not large.limit(1).count():
+        return small
+    drawn = W.partitionBy("grp").orderBy(F.xxhash64("doc_id"), "doc_id")
+    heads = large.select("grp", "doc_id", "blocks", F.row_number().over(drawn).alias("k")).where(F.col("k") <= n_heads).drop("k")
+    heads = materialize(heads.join(large.select("doc_id", "data"), "doc_id"), "group-heads")
+    every = heads.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "data")
+    dealt = large.select("grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "data")
+    tied = dealt.groupBy("grp", "block").cogroup(every.groupBy("grp", "block")).applyInPandas(_to_heads(measure), "grp long, doc_id long, head long")
+    tied = materialize(tied, "tied-to-heads")
+    by_head = tied.groupBy("grp", "head").agg(F.count(F.lit(1)).alias("c"))
+    top = F.max_by("head", F.when(F.col("head").isNotNull(), F.struct("c", -F.col("head"))))
+    bulks = by_head.groupBy("grp").agg(top.alias("bulk"), F.sum("c").alias("n"), F.max(F.when(F.col("head").isNotNull(), F.col("c"))).alias("in_bulk"))
+    bulks = bulks.select(
+        "grp", "bulk", F.ceil((F.col("n") - F.coalesce("in_bulk", F.lit(0))) / block).cast("int").alias("rest_blocks"), F.ceil(F.coalesce("in_bulk", F.lit(0)) / block).cast("int").alias("bulk_blocks")
+    )
+    bulks = materialize(bulks.where(F.col("rest_blocks") > 0), "bulks")
+    open_rows = join_spread(tied, bulks, "grp", ["doc_id"]).join(large.select("doc_id", "data"), "doc_id")
+    in_bulk = F.col("head").eqNullSafe(F.col("bulk")) & F.col("bulk").isNotNull()
+    # blocks of the rest come first, those of the bulk behind them; a pair has one block of the rest at least
+    place = F.when(in_bulk, F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), F.col("bulk_blocks"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks"))).cast("int")
+    last = F.when(in_bulk, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("bulk_blocks")) - 1
+    pairs = open_rows.withColumn("block", place).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = pairs.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "data")
+    rest = pairs.groupBy("grp", "lo", "hi").applyInPandas(_between(measure), out)
+    stars = tied.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    return small.unionByName(stars).unionByName(rest)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 24, block: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id, component_id, kept.
 
-    ``documents`` has doc_id (unique, not null: an input without such ids has to be numbered first; repeated ids
-    are taken as one document seen twice and get a row each) and text; other columns are ignored. Null and
-    wordless texts have empty sets and link with nothing, not even with one another. ``class_id`` is the smallest
-    id with the same words, ``component_id`` the smallest id reachable over links.
+    ``documents`` has doc_id (unique, not null: an input without such ids has to be numbered first; of repeated ids
+    with different texts, the one with the smallest digest of its words stands for the id, and each row gets a row)
+    and text; other columns are ignored. Null and wordless texts have empty sets and link with nothing, not even
+    with one another. ``class_id`` is the smallest id with the same words, ``component_id`` the smallest id
+    reachable over links. An empty table gives no rows. Long texts are read whole, in pieces.
     """
-    n_hashes = 4 * m
+    n_hashes = 2 * m * ROWS
     signed = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(n_hashes), SIGNED), "signed")
     worded = signed.where(F.col("n_shingles") > 0)
-    classes = worded.groupBy("words").agg(F.min("doc_id").alias("class_id"))
-    first = worded.where(F.col("doc_id").isNotNull()).join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    first = materialize(first.select("doc_id", "sig"), "first")
+    classes = materialize(worded.groupBy("words").agg(F.min("doc_id").alias("class_id")), "classes")
+    first = worded.where(F.col("doc_id").isNotNull()).join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    first = materialize(first.groupBy("doc_id").agg(F.min(F.struct("words", "sig")).alias("s")).select("doc_id", "s.words", "s.sig"), "first")
 
     keyed = table_keys(first, m)
     coarse = connected_components(_stars(keyed))
@@ -251,26 +342,28 @@ def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 12, block:
     # 4.2 standard deviations below the expected agreement of a pair at the threshold
     p = percent / 100
     least = int(n_hashes * p - 4.2 * (n_hashes * p * (1 - p)) ** 0.5)
-    fine = connected_components(_by_blocks(rows, _compare_sigs(n_hashes, least), 4 * block))
+    fine = connected_components(links_in_groups(rows, Signatures(n_hashes, least), 4 * block))
 
     # a shuffle at any size: the ids grow with the corpus, so a broadcast would only hold for small inputs
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(fine.hint("merge"), "id").select("component", "id", "text")
+    chosen = fine.join(first.select(F.col("doc_id").alias("id"), "words"), "id")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen.hint("merge"), "id").select("component", "id", "words", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            data = [shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(data, pa.binary())], ["grp", "doc_id", "data"])
+            ids = [text_digests(t) for t in batch.column("text").to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) == w for x, w in zip(ids, batch.column("words").to_pylist(), strict=True)], pa.bool_())
+            data = pa.array([shingle_hashes(x).tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), data], ["grp", "doc_id", "data"]).filter(same)
 
     full = materialize(texts.mapInArrow(sets, "grp long, doc_id long, data binary"), "sets")
-    linked = connected_components(_by_blocks(full, _compare_sets(percent), block)).withColumnRenamed("id", "class_id")
+    linked = connected_components(links_in_groups(full, Sets(percent), block)).withColumnRenamed("id", "class_id")
     named = classes.join(linked, "class_id", "left").select("words", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return (
-        signed.join(named.withColumnRenamed("words", "_w"), (F.col("words") == F.col("_w")) & (F.col("n_shingles") > 0), "left")
-        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    judged = join_spread(worded.select("doc_id", "n_shingles", "words"), named, "words", ["doc_id"]).drop("words")
+    bare = signed.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return judged.select(*bare.columns).unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@settled
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

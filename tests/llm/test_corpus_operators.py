@@ -73,6 +73,43 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == brute_near(rows)
 
 
+def test_near_duplicates_at_exactly_the_threshold(spark):
+    """400 pairs that share 60 of 80 shingles, the least that links them, and 400 that share 59 of 79."""
+    rng, rows = random.Random(8), []
+    for pair in range(800):
+        base = [f"{rng.getrandbits(40):x}" for _ in range(74 if pair < 400 else 73)]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(base[:64 if pair < 400 else 63] + [f"{rng.getrandbits(40):x}" for _ in range(10)]))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * p + 1] == 2 * p for p in range(400)) >= 398
+    assert all(got[2 * p + 1] == 2 * p + 1 for p in range(400, 800))
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """Near copies of one text, of another that is chained to it, and texts that share half of it, in one coarse group."""
+    rng = random.Random(6)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    one = [word() for _ in range(60)]
+    other = one[:52] + [word() for _ in range(8)]
+    rows = []
+    for i in range(240):
+        text = list(one if i < 150 else other if i < 190 else one[:30] + [word() for _ in range(30)])
+        text[rng.randrange(20, 50)] = word()
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    for block in (512, 16):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, block=block).collect()} == want
+
+
+def test_word_digests_follow_the_words():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choices(["a", "B", "é", "bc", " ", "\t", "\n\x0b", "\x1f", "\u00a0", "x" * 5000], k=rng.randint(0, 40)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        ids = neardup.text_digests(text, piece=rng.choice([3, 1 << 20]))
+        assert len(ids) == len(words) and len(set(zip(ids.tolist(), words))) == len(set(words)) == len(set(ids.tolist()))
+
+
 def test_near_duplicates_edge_tables(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, " \t"), (4, "x"), (5, "x"), (5, "x"), (None, "x")], "doc_id long, text string")
     rows = neardup.near_duplicates(df).collect()
