@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import materialize, shared_dir
+from dealmill.llm.common import join_spread, materialize, settled, shared_dir
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -85,7 +85,8 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache: str, limit: i
     ``documents`` has doc_id and text; other columns are ignored. Null texts count as empty (0 bytes, 0 tokens);
     null and repeated doc_ids and repeated texts keep a row each; an empty table gives no rows. ``cache`` is a
     folder that all executors share; it grows by the new distinct contents. Texts are encoded whole. Copies meet
-    before the shuffle (partial aggregation), so a hot text is sent once per task.
+    before the shuffle (partial aggregation), so a hot text is sent once per task; its documents are dealt to many
+    parts when they take their count.
     """
     spark, version = documents.sparkSession, tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -94,11 +95,12 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache: str, limit: i
     distinct = documents.select(digest.alias("content"), normalised(text).alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     misses = distinct.join(_stored(spark, cache, version), "content", "left_anti")
     misses.select("content", "text").mapInArrow(_count_batches(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return rows.join(_stored(spark, cache, version), "content", "left").select(
+    return join_spread(rows, _stored(spark, cache, version), "content", ["doc_id", "n_bytes"], "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
 
+@settled
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
