@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from dealmill.llm.common import in_slices, materialize
+from dealmill.llm.common import in_slices, materialize, scratch
 
 # Common insults, and phrases in which one of them is harmless.
 SEED_TERMS = (
@@ -255,7 +255,8 @@ def held_out_fold():
 
 def fitted_model(documents: DataFrame, sf_dir: str) -> ToxicityModel:
     labels = documents.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return fit_toxicity(documents, labels.where(~held_out_fold()))
+    with scratch(documents.sparkSession):
+        return fit_toxicity(documents, labels.where(~held_out_fold()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
