@@ -29,7 +29,6 @@ def shared_dir(spark: SparkSession, name: str, outer: bool = False) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints", "dealmill")
-        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _NAMED[-2 if outer and len(_NAMED) > 1 else -1].append(path)
     return path

@@ -3,9 +3,11 @@ r"""Benchmark decontamination over a distributed positional inverted index, with
 ``build_index`` stores, as Parquet in the shared folder, one posting (rid, doc_id, term_id, pos) for every
 occurrence in the training texts of a term of the test items, whole corpus, whole texts, and one closing row per
 document (term_id 0) whose pos is its number of words. ``exact_matches`` takes the rarest terms of each window
-from the index's own document frequencies, turns their postings into start positions (pos - offset), intersects
-those lists, and keeps the starts at which every other term of the window has a posting at its offset.
-``proximity_matches`` finds windows all of whose terms lie close together, in any order.
+by the index's own counts, turns their postings into start positions (pos - offset) and intersects those lists;
+from the second list on, only the postings of documents that still have a start are read, to keep the starts at
+which every term of the window has a posting at its offset. ``proximity_matches`` finds windows all of whose terms
+lie close together, in any order. Texts are matched with the terms as strings; 64-bit digests name terms and
+windows of the tests only, and are checked to be distinct.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import lower_ascii, materialize
+from dealmill.llm.common import lower_ascii, materialize, settled
 
 WINDOW = 10
 #: Words are runs of 0-9, a-z and characters beyond ASCII, after lower-casing A-Z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CLOSING = "."  # no word, for it holds no word character
-#: A vocabulary of at most so many terms is sent to all executors; a larger one is joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: A vocabulary of at most so many bytes (texts of its terms and 32 for each) is sent to all executors; a larger one is
+#: left to Spark, whose own threshold is lower.
+BROADCAST_BYTES = 32 << 20
+#: Parts that the postings of one term are dealt to where they are joined by term.
+PARTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -37,7 +42,7 @@ class TestWindows:
     terms: DataFrame
     windows: DataFrame
     items: DataFrame
-    n_terms: int
+    term_bytes: int
 
 
 def test_windows(items: DataFrame, window: int = WINDOW) -> TestWindows:
@@ -50,10 +55,13 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> TestWindows:
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)))
     cut = worded.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, F.lit(window)))).alias("words"))
     cut = materialize(cut.select("item_id", "words", F.xxhash64(F.array_join("words", " ")).alias("win")).distinct(), "bench-windows")
-    terms = cut.select(F.explode("words").alias("term")).distinct().select("term", F.xxhash64("term").alias("term_id")).where(F.col("term_id") != 0)
-    terms = materialize(terms, "bench-terms")
+    terms = materialize(cut.select(F.explode("words").alias("term")).distinct().select("term", F.xxhash64("term").alias("term_id")), "bench-terms")
     windows = cut.dropDuplicates(["win"]).select("win", F.size("words").alias("len"), F.transform("words", lambda w: F.xxhash64(w)).alias("ids"))
-    return TestWindows(terms, materialize(windows, "bench-ids"), cut.select("win", "item_id").distinct(), terms.count())
+    size, n, n_ids, n_zero = terms.agg(F.sum(F.octet_length("term") + 32), F.count(F.lit(1)), F.count_distinct("term_id"), F.count_if(F.col("term_id") == 0)).first()
+    n_words, n_wins = cut.agg(F.count_distinct("words"), F.count_distinct("win")).first()
+    if n != n_ids or n_zero or n_words != n_wins:
+        raise ValueError("two terms or windows of the tests have one digest")
+    return TestWindows(terms, materialize(windows, "bench-ids"), cut.select("win", "item_id").distinct(), size or 0)
 
 
 def build_index(documents: DataFrame, tests: TestWindows) -> DataFrame:
@@ -64,7 +72,7 @@ def build_index(documents: DataFrame, tests: TestWindows) -> DataFrame:
     """
     closing = documents.sparkSession.createDataFrame([(_CLOSING, 0)], "term string, term_id long")
     known = tests.terms.unionByName(closing)
-    if tests.n_terms <= BROADCAST_TERMS:
+    if tests.term_bytes <= BROADCAST_BYTES:
         known = F.broadcast(known)
     numbered = documents.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.array_append(words_of(F.col("text")), F.lit(_CLOSING)).alias("words"))
     postings = numbered.select("rid", "doc_id", F.posexplode("words").alias("pos", "term"))
@@ -72,8 +80,8 @@ def build_index(documents: DataFrame, tests: TestWindows) -> DataFrame:
 
 
 def _rarest(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
-    """win, len, rank, term_id, off: the ``lists`` rarest terms of each window, by document frequency."""
-    frequency = index.where(F.col("term_id") != 0).groupBy("term_id", "rid").agg(F.count(F.lit(1)).alias("n")).groupBy("term_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    """win, len, rank, term_id, off, n: the ``lists`` rarest terms of each window, by their number of postings."""
+    frequency = index.where(F.col("term_id") != 0).groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
     places = tests.windows.select("win", "len", F.posexplode("ids").alias("off", "term_id"))
     places = places.groupBy("win", "len", "term_id").agg(F.min("off").alias("off"))
     ranked = places.join(frequency, "term_id", "left").withColumn(
@@ -82,24 +90,30 @@ def _rarest(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
     return ranked.where(F.col("rank") <= lists).select("win", "len", "rank", "term_id", "off", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _at_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """postings joined with ``terms`` (some rows for each term_id, of the tests' size) by term; a hot term is dealt to parts."""
+    copies = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return postings.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int")).join(copies, ["term_id", "part"]).drop("part")
+
+
 def exact_matches(index: DataFrame, tests: TestWindows, lists: int = 3) -> DataFrame:
     """rid, win, start, len: every occurrence of every window."""
     anchors = materialize(_rarest(index, tests, lists), "anchors")
     postings = index.where(F.col("term_id") != 0).select("rid", "term_id", "pos")
-    starts = None
+    starts, within = None, postings
     for rank in range(1, lists + 1):  # from the rarest list on, each further list only confirms starts
         at_rank = anchors.where(F.col("rank") == rank).select("win", "term_id", "off")
+        listed = _at_terms(within, at_rank).select("rid", "win", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= 0)
         if rank > 1:
             alone = starts.join(at_rank.select("win"), "win", "left_anti")  # windows with fewer different terms
-            sought = starts.join(at_rank, "win").select("rid", "win", "start", "term_id", (F.col("start") + F.col("off")).alias("pos"))
-            starts = sought.join(postings, ["rid", "pos", "term_id"]).select("rid", "win", "start").unionByName(alone)
-        else:
-            starts = postings.join(at_rank, "term_id").select("rid", "win", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= 0)
-        starts = materialize(starts, "starts")
+            listed = starts.join(listed, ["rid", "win", "start"]).unionByName(alone)
+        starts = materialize(listed, "starts")
+        if rank == min(2, lists):
+            within = materialize(postings.join(materialize(starts.select("rid").distinct(), "start-rids"), "rid", "left_semi"), "postings-at-starts")
     sought = starts.join(tests.windows, "win").select("rid", "win", "start", "len", F.posexplode("ids").alias("off", "term_id"))
     sought = sought.select("rid", "win", "start", "len", "term_id", (F.col("start") + F.col("off")).alias("pos"))
     return (
-        sought.join(postings, ["rid", "pos", "term_id"])
+        sought.join(within, ["rid", "pos", "term_id"])
         .groupBy("rid", "win", "start", "len").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == F.col("len")).drop("n")
     )
@@ -112,7 +126,7 @@ def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5) -> Da
     """
     anchors = _rarest(index, tests, 1).select("win", "len", F.col("term_id").alias("rare"))
     postings = index.where(F.col("term_id") != 0).select("rid", "term_id", "pos")
-    at = postings.withColumnRenamed("term_id", "rare").join(anchors, "rare").select("rid", "win", "len", F.col("pos").alias("at"))
+    at = _at_terms(postings, anchors.withColumnRenamed("rare", "term_id")).select("rid", "win", "len", F.col("pos").alias("at"))
     terms = tests.windows.select("win", F.explode(F.array_distinct("ids")).alias("term_id"), F.size(F.array_distinct("ids")).alias("n_terms"))
     near = at.join(terms, "win").join(postings, ["rid", "term_id"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("len") + slop)
     # each place in reach opens a span of len + slop words; one that holds the anchor and all terms is a match
@@ -172,6 +186,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     )
 
 
+@settled
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
