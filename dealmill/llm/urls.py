@@ -15,11 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import drop_written, lower_ascii, materialize
+from dealmill.llm.common import drop_written, join_spread, lower_ascii, materialize, settled
 
 #: (verdict, host and path)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-_LINK = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+#: Links count in anchors outside comments and scripts, by the attribute href itself.
+_LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+_NO_LINKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+#: Parts that the links of a hub are dealt to.
+PARTS = 256
 
 
 def host_of(url: Column) -> Column:
@@ -31,7 +35,7 @@ def path_of(url: Column) -> Column:
 
 
 def _longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """struct<rule, verdict> of the longest rule that fits, else null; of equally long ones the first by text."""
+    """struct<rule, verdict> of the longest rule that fits, else null; of equally long ones the last by text."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         at, _, rest = rule.partition("/")
@@ -42,7 +46,7 @@ def _longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: links from pages of one host to another host, repeated links of a page counted once."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1))).alias("link"))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), _NO_LINKS, " "), F.lit(_LINK), 1))).alias("link"))
     ends = links.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))).alias("dst"))
     return ends.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -61,7 +65,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
     )
     outs = flows.groupBy("kind", "from").agg(F.sum("n").alias("out"))
-    flows = materialize(flows.join(outs, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("out")).alias("share")), "host-flows")
+    flows = join_spread(flows, outs, ["kind", "from"], ["to"], parts=PARTS)
+    flows = materialize(flows.select("kind", "from", "to", F.pmod(F.xxhash64("to"), F.lit(PARTS)).alias("part"), (F.col("n") / F.col("out")).alias("share")), "host-flows")
+    seats = materialize(flows.select("kind", "from", "part").distinct(), "host-seats")
     hosts = flows.select("kind", F.col("from").alias("host")).union(flows.select("kind", "to")).union(
         seeds.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), "host")
     ).distinct()
@@ -72,7 +78,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     start = materialize(start.select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("passes", F.lit(False)).alias("passes")), "host-seeds")
     rank = start.withColumn("mass", F.col("seed"))
     for done in range(1, (guard if rounds is None else rounds) + 1):
-        passed = rank.select("kind", F.col("host").alias("from"), "mass").join(flows, ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
+        told = seats.join(rank.select("kind", F.col("host").alias("from"), "mass"), ["kind", "from"])  # a hub's mass, once for each part of its links
+        passed = flows.join(told, ["kind", "from", "part"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
         kept = F.when(F.col("passes"), 0.0).otherwise(F.col("mass"))
         mass = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + kept)
         after = rank.join(passed, ["kind", "host"], "left").withColumn("change", F.abs(mass - F.col("mass"))).withColumn("mass", mass).drop("got")
@@ -98,7 +105,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
     host and path, no rule, and is allowed (nothing speaks against it). Null html has no links. Repeated pages
     count as often as they occur. An empty table gives no rows. Trust is propagated until it has settled well
     below the threshold of any host, or for just ``rounds`` rounds. Hosts are aggregated before they are joined, so
-    a hot host is one row of the graph.
+    a hot host is one row of the graph; its pages, and the links of a hub, are dealt to parts. Pages are read whole.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -113,13 +120,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thres
     scored = hosts.join(ranks, "host").select(
         "host", "trust", "distrust", (F.col("distrust") - F.col("trust") > threshold * F.col("n") / total).alias("bad")
     )
-    return judged.join(scored, "host", "left").select(
+    return join_spread(judged, scored, "host", ["page_id", "path"], "left").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce(F.col("found.verdict"), F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
 
 
+@settled
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -139,7 +147,7 @@ def urls_sql(rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, d
     ON g.kind = s.kind AND g.dst = s.host)"""
         for i in range(1, rounds + 1)
     )
-    link = _LINK.replace("'", "''").replace("(?i)", "")
+    link, no_links = _LINK.replace("'", "''").replace("(?i)", ""), _NO_LINKS.replace("(?is)", "")
     return f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values}
 ), p AS (
@@ -152,7 +160,7 @@ WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values}
   SELECT host, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS allow, count(*) FILTER (WHERE said = 'block') AS block,
          sum(count(*)) OVER () AS total FROM judged WHERE host <> '' GROUP BY host
 ), link AS (
-  SELECT k, host AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{link}', 1, 'i'))) AS url FROM p
+  SELECT k, host AS src, unnest(list_distinct(regexp_extract_all(regexp_replace(coalesce(html, ''), '{no_links}', ' ', 'gis'), '{link}', 1, 'i'))) AS url FROM p
 ), edge AS (
   SELECT src, dst, count(*) AS n FROM (
     SELECT src, {host("CASE WHEN starts_with(url, '//') THEN 'x:' || url ELSE url END")} AS dst FROM link) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL
