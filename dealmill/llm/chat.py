@@ -94,7 +94,8 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant") -> Dat
     ``turns`` has conv_id, turn, role, text; other columns are ignored. Rows go by turn (null first), then role,
     then text, so ties and repeated rows keep one order and repeated rows are repeated turns. Null role or text
     is empty; a null conv_id is a conversation of its own. No rows give no rows. The rows of one conversation
-    meet in one task, for its output is one string.
+    meet in one task, for its output is one string; so do very long texts. ``loss_spans`` are places by code point, which
+    are cut from the string one by one, so reading them back costs a conversation's length for each assistant turn.
     """
     rows = turns.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")
