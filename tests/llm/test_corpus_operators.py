@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -233,6 +234,41 @@ def test_nearest_recall_on_the_table(spark):
     assert np.mean(recall) >= 0.9
 
 
+def _recall(got, x, queries_at, k=20):
+    found = got.groupby("query_id").vec_id.apply(set)
+    share = []
+    for q in queries_at:
+        s = x @ x[q]
+        s[q] = -np.inf
+        share.append(len(found[q] & set(np.lexsort((np.arange(len(x)), -s))[:k])) / k)
+    return np.mean(share)
+
+
+def test_nearest_recall_at_two_sizes_with_cells_and_exact(spark):
+    """Regions of several cells at both sizes; reading all lists gives all neighbours, of doubles beyond floats too."""
+    rng = np.random.default_rng(12)
+    for n in (2_000, 8_000):
+        centres = rng.normal(size=(40, 24))
+        x = centres[rng.integers(0, 40, n)] + 0.5 * rng.normal(size=(n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        small = ann.AnnParams(list_size=16, centroids=32, cells=16)
+        got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20, small).toPandas()
+        assert _recall(got, x, range(0, n, 20)) >= 0.9
+        assert got.score.to_numpy() == pytest.approx((x[got.query_id] * x[got.vec_id]).sum(1), abs=1e-12)
+    far = spark.createDataFrame([(i, (v * 1e100).tolist()) for i, v in enumerate(x[:1_000])], "vec_id long, embedding array<double>")
+    got = ann.nearest(far, F.col("vec_id") % 20 == 0, 20, ann.AnnParams(list_size=16, centroids=32, cells=16, probes=None)).toPandas()
+    assert _recall(got, x[:1_000], range(0, 1_000, 20)) == 1.0
+
+
+def test_centroid_graph_finds_the_nearest():
+    rng = np.random.default_rng(3)
+    points, asked = rng.normal(size=(700, 12)).astype(np.float32), rng.normal(size=(50, 12)).astype(np.float32)
+    ids, d = ann.CentroidGraph(points).search(asked, 10)
+    every = ((asked[:, None, :] - points[None, :, :]) ** 2).sum(2)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, np.argsort(every, axis=1)[:, :10])]) > 0.97
+    assert d == pytest.approx(np.take_along_axis(every, ids, 1), abs=1e-3) and all(len(set(row)) == 10 for row in ids)
+
+
 def _words(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
 
@@ -316,6 +352,23 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+def test_queries_and_pipeline_leave_nothing_but_their_rows(spark):
+    from dealmill.llm.common import drop_scratch
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    left = lambda: [f for f in os.listdir(base) if not f.count("-") == 4 or "." in f]  # noqa: E731 (the session's own folder aside)
+    drop_scratch(spark)
+    before = set(left())
+    for name in ("op3_token_counts", "op8_decontaminate"):
+        queries.QUERIES[name](spark, DATA)
+    new = sorted(f.rsplit("-", 1)[0] for f in set(left()) - before)
+    assert new == ["op3_token_counts", "op8_decontaminate"]
+    corpus_pipeline.run(spark, DATA)
+    assert {f.rsplit("-", 1)[0] for f in set(left()) - before} == {*new, "stage-mixing"}
+    drop_scratch(spark)
+    assert set(left()) == before
+
+
 def test_pipeline_stages_keep_columns_and_odd_rows(spark):
     rows = [(None, "some plain words that nobody repeats at all", "en", None, 1, "k"), (None, None, None, "s", None, "k"), (5, "", "en", "s", 0, None), (5, "same text of five words", "en", "s", 0, "k"), (5, "same text of five words", "en", "s", 0, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
