@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal forms that end company names.
-LEGAL_FORMS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "llp", "plc", "ag", "sa", "nv", "bv", "gmbh", "kk", "ab", "as", "oy", "spa", "srl", "pty", "holdings", "group")
+LEGAL_FORMS = ("inc", "corp", "corporation", "ltd", "limited", "holding", "holdings", "llc", "plc", "co", "company", "sa", "ag", "gmbh", "kgaa", "nv", "bv")
 # Frequent English words, for telling English text.
-ENGLISH = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "this", "are")
+ENGLISH = ("the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at")
 
 
 def trigrams(text: Column) -> Column:
@@ -56,8 +56,8 @@ def sql_fingerprint(statement: Column) -> Column:
 
 
 def looks_english(text: Column) -> Column:
-    """More than a tenth of the first 200 words are frequent English words."""
-    words = F.slice(F.filter(F.split(F.lower(text), r"[^a-z]+"), lambda w: w != ""), 1, 200)
+    """More than a tenth of the first 200 words (of a-z alone) are frequent English words."""
+    words = F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$")), 1, 200)
     return F.coalesce(F.size(F.filter(words, lambda w: w.isin(*ENGLISH))) > 0.1 * F.size(words), F.lit(False)) & (F.size(words) > 0)
 
 

@@ -1,4 +1,4 @@
-"""Bounded breadth-first search over an undirected edge table."""
+"""Bounded breadth-first search over an undirected edge table. What is read at each step is kept by Spark's cache."""
 
 from __future__ import annotations
 
@@ -12,19 +12,27 @@ def distances(edges: DataFrame, start: Sequence[str], max_hops: int) -> DataFram
     """id, hops of all vertices within max_hops edges. Each step joins the frontier and leaves out who was met."""
     spark = edges.sparkSession
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = both.persist()
     seen = frontier = spark.createDataFrame([(s, 0) for s in start], "id string, hops int")
     for hop in range(1, max_hops + 1):
         step = frontier.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
+        frontier = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)).persist()
         seen = seen.unionByName(frontier)
     return seen
 
 
+def induced(edges: DataFrame, start: Sequence[str], max_hops: int) -> DataFrame:
+    """The edges both of whose ends are within max_hops of a start."""
+    near = distances(edges, start, max_hops).select("id")
+    ends = edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi")
+    return ends.join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def shortest_paths(edges: DataFrame, a: str, b: str, max_hops: int, limit: int = 5) -> DataFrame:
     """path (array of ids): up to ``limit`` shortest paths from a to b; simple paths only."""
     spark = edges.sparkSession
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near_b = distances(edges, [b], max_hops).withColumnRenamed("hops", "left")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
+    near_b = distances(edges, [b], max_hops).withColumnRenamed("hops", "left").persist()
     total = near_b.where(F.col("id") == a).select(F.col("left").alias("total"))
     paths = spark.createDataFrame([([a],)], "path array<string>").crossJoin(total)
     done = paths.where(F.col("total") == 0)

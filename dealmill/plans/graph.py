@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
-from dealmill.operators.paths import distances
+from dealmill.operators.paths import distances, induced, shortest_paths
 from dealmill.operators.topk import first_per_key
 
 QUERIES, SQL = {}, {}
@@ -105,3 +105,45 @@ def graph_distances(d: Domain) -> DataFrame:
 def graph_latest_deal(d: Domain) -> DataFrame:
     rows = d.deal_roles().join(d.deals().select("deal_id", "date_start", "category"), "deal_id")
     return first_per_key(rows.select("company", "deal_id", "date_start", "category"), ["company"], [F.col("date_start").desc_nulls_last(), F.col("deal_id")]).select("company", "deal_id", "category")
+
+
+_PAIR = "(SELECT a.company AS x, b.company AS y, a.deal_id FROM deal_roles a JOIN deal_roles b ON a.deal_id = b.deal_id AND a.company <> b.company)"
+
+
+def _partnerships(d: Domain) -> DataFrame:
+    """src, dst: companies that met in a deal; each principal with its deals' partners, and partners among themselves."""
+    a, b = d.deal_roles().select("deal_id", F.col("company").alias("src")), d.deal_roles().select("deal_id", F.col("company").alias("dst"))
+    return a.join(b, "deal_id").where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
+
+
+@query(f"""WITH e AS (SELECT DISTINCT x, y FROM {_PAIR}),
+p1 AS (SELECT x, y FROM e WHERE x = 'C1'), direct AS (SELECT ['C1', 'C2'] AS path FROM p1 WHERE y = 'C2'),
+p2 AS (SELECT ['C1', p1.y, e.y] AS path FROM p1 JOIN e ON e.x = p1.y WHERE e.y = 'C2' AND NOT EXISTS (FROM direct)),
+p3 AS (SELECT DISTINCT ['C1', p1.y, a.y, b.y] AS path FROM p1 JOIN e a ON a.x = p1.y AND a.y <> 'C1' JOIN e b ON b.x = a.y AND b.y = 'C2' WHERE NOT EXISTS (FROM direct) AND NOT EXISTS (FROM p2))
+SELECT array_to_string(path, '>') AS path FROM (FROM direct UNION ALL FROM p2 UNION ALL FROM p3) ORDER BY len(path), 1 LIMIT 5""")
+def graph_shortest_paths(d: Domain) -> DataFrame:
+    """Up to five shortest chains of partnerships between C1 and C2, of three steps at most."""
+    return shortest_paths(_partnerships(d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH ego AS (SELECT y AS company, count(DISTINCT p.deal_id) AS deals, round(sum(total_value), 2) AS value FROM (SELECT DISTINCT * FROM {_PAIR}) p JOIN deals d ON d.deal_id = p.deal_id WHERE x = 'C1' GROUP BY 1 HAVING count(DISTINCT p.deal_id) >= 1),
+among AS (SELECT x, y, count(DISTINCT p.deal_id) AS deals, round(sum(total_value), 2) AS value FROM (SELECT DISTINCT * FROM {_PAIR}) p JOIN deals d ON d.deal_id = p.deal_id WHERE x < y AND x IN (SELECT company FROM ego) AND y IN (SELECT company FROM ego) GROUP BY ALL HAVING count(DISTINCT p.deal_id) >= 2)
+SELECT 'C1' AS src, company AS dst, deals, value FROM ego UNION ALL SELECT x, y, deals, value FROM among""")
+def graph_ego_network(d: Domain) -> DataFrame:
+    """C1 with its partners, and its partners among themselves (two deals at least): deals and summed value of each edge."""
+    roles, value = d.deal_roles().select("deal_id", "company").distinct(), d.deals().select("deal_id", "total_value")
+    mine = roles.where(F.col("company") == "C1").select("deal_id")
+    total = [F.countDistinct("deal_id").alias("deals"), F.round(F.sum("total_value"), 2).alias("value")]
+    ego = roles.join(mine, "deal_id").where(F.col("company") != "C1").join(value, "deal_id").groupBy(F.col("company").alias("dst")).agg(*total)
+    inside = roles.join(ego.select(F.col("dst").alias("company")), "company", "left_semi")
+    a, b = inside.withColumnRenamed("company", "src"), inside.withColumnRenamed("company", "dst")
+    among = a.join(b, "deal_id").where(F.col("src") < F.col("dst")).join(value, "deal_id").groupBy("src", "dst").agg(*total).where(F.col("deals") >= 2)
+    return ego.select(F.lit("C1").alias("src"), "dst", "deals", "value").unionByName(among)
+
+
+@query(f"""WITH e AS (SELECT company AS src, 'D' || deal_id AS dst FROM deal_roles), v0 AS (SELECT 'C1' AS id), v1 AS (SELECT dst AS id FROM e WHERE src = 'C1'), v2 AS (SELECT DISTINCT src AS id FROM e WHERE dst IN (SELECT id FROM v1)),
+v AS (FROM v0 UNION FROM v1 UNION FROM v2) SELECT src, dst FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)""")
+def graph_subgraph(d: Domain) -> DataFrame:
+    """All edges between the vertices within two steps of C1."""
+    edges = d.deal_roles().select(F.col("company").alias("src"), F.concat(F.lit("D"), F.col("deal_id").cast("string")).alias("dst"))
+    return induced(edges, ["C1"], 2)

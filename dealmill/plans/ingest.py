@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
+from dealmill.functions import phases
 from dealmill.functions.finance import explode_clauses, explode_terms
-from dealmill.functions.phases import PHASES, highest_phase
+from dealmill.functions.finance import finance_details as details_of
 from dealmill.functions.text import bare_filer_id, canonical_date, domain_name, filer_id
 from dealmill.sources.readers import item_sections, submission_documents, trial_citations
 from dealmill.sources.sinks import calendar_events, csv_ready
@@ -26,13 +27,13 @@ def query(sql: str | None = None):
 
 
 def _contract_lines(d: Domain) -> DataFrame:
-    return d.t("lineitem").where(F.col("l_linenumber") == 1).select(
-        F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("int").alias("q"),
+    return d.t("lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("int").alias("q"),
         F.floor(100 * F.col("l_discount") + 0.5).cast("int").alias("low"), F.floor(100 * F.col("l_tax") + 10.5).cast("int").alias("high"),
     )
 
 
-_INTS = "SELECT l_orderkey AS id, l_quantity::INT AS q, floor(100 * l_discount + 0.5)::INT AS low, floor(100 * l_tax + 10.5)::INT AS high FROM lineitem WHERE l_linenumber = 1"
+_INTS = "SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity::INT AS q, floor(100 * l_discount + 0.5)::INT AS low, floor(100 * l_tax + 10.5)::INT AS high FROM lineitem"
 
 
 @query(f"""WITH x AS ({_INTS}) SELECT id, 'upfront' AS kind, q::DOUBLE AS amount, NULL::DOUBLE AS rate_low, NULL::DOUBLE AS rate_high, false AS tiered FROM x
@@ -44,17 +45,46 @@ def contract_clauses(d: Domain) -> DataFrame:
     return explode_clauses(x.select("id", text.alias("text")), "id", "text").select("id", "kind", "amount", "rate_low", "rate_high", "tiered")
 
 
-@query(f"""WITH x AS ({_INTS}) SELECT id, 'paid' AS basis, 'Upfront' AS type, q::DOUBLE AS amount, NULL::DOUBLE AS rate_low, 1.0::DOUBLE AS confidence FROM x
-UNION ALL SELECT id, 'paid', 'Equity', q * 0.001::DOUBLE, NULL, 1.0 FROM x UNION ALL SELECT id, 'paid', 'Royalty', NULL, high::DOUBLE, 1.0 FROM x""")
+#: Payloads with what is expected of each of their payments, worked out by hand: term, amount in millions, in USD, rate bounds, confidence, breakdown.
+PAYLOADS = (
+    (
+        """{"PaymentsToPrincipal":{"PaymentsPaid":{"PaymentsGeneral":{"Payment":{"Type":"Upfront Payment","Values":{"@attributes":{"disclosureStatus":"Known"},"ValueReported":{"@text":"1,200","@attributes":{"unit":"Thousand","currency":"EUR"}},"ValueConvertedToUSD":{"@text":"1.5","@attributes":{"unit":"Million"}}},"PaymentBreakdown":{"Payment":[{"Type":"Milestone","Values":{"ValueReported":{"@text":"2","@attributes":{"unit":"Billion"}}}}]}}}}}}""",
+        (("upfront_payment", 1.2, 1.5, None, None, 1.0, False), ("milestone_component", 2000.0, None, None, None, 0.5, True)),
+    ),
+    (
+        """{"PaymentsToPartner":{"PaymentsProjectedSigning":{"PaymentsPercentage":{"Payment":[{"Type":"Royalty (%)","Values":{"@attributes":{"accuracy":">=","disclosureStatus":"Known"},"ValueReported":{"@text":"5","@attributes":{"unit":"%"}}}},{"Type":"Transfer Price (%)","Note":"between 3% and more, 12% - 15% later"}]}}}}""",
+        (("royalty_rate", None, None, 5.0, None, 1.0, False), ("transfer_price_rate", None, None, 12.0, 15.0, 0.5, False)),
+    ),
+    (
+        """{"PaymentsToPrincipal":{"PaymentsProjectedCurrent":{"PaymentsGeneral":{"Payment":[{"Type":"Up front","Values":{"@attributes":{"disclosureStatus":"Known"},"ValueReported":{"@text":"200","@attributes":{"unit":"%"}},"ValueConvertedToUSD":{"@text":"200","@attributes":{"unit":"Million"}}}},{"Type":"Royalty (%)","Values":{"@attributes":{"accuracy":"=<"},"ValueReported":{"@text":"200","@attributes":{"unit":"%"}}}},{"Type":"Sales Milestones","Values":{"ValueReported":{"@text":"3","@attributes":{"unit":"Trillion"}}}},{"Type":null,"Values":{"ValueReported":{"@text":"soon"}}}]}}}}""",
+        (("upfront_payment", 200.0, 200.0, None, None, 1.0, False), ("royalty_rate", None, None, None, 200.0, 0.5, False), ("commercial_milestone", 3e6, None, None, None, 0.5, False), ("unspecified", None, None, None, None, 0.5, False)),
+    ),
+)
+_sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE"
+_EXPECTED = ", ".join(f"({k}, {i}, {', '.join(map(_sql, row))})" for k, (_, rows) in enumerate(PAYLOADS) for i, row in enumerate(rows))
+
+
+@query(f"""WITH e(k, i, term, amount, amount_usd, rate_low, rate_high, confidence, breakdown) AS (VALUES {_EXPECTED})
+SELECT l_orderkey * 8 + l_linenumber AS id, term, amount::DOUBLE AS amount, amount_usd::DOUBLE AS amount_usd, rate_low::DOUBLE AS rate_low, rate_high::DOUBLE AS rate_high, confidence, breakdown
+FROM lineitem JOIN e ON k = (l_orderkey * 8 + l_linenumber) % {len(PAYLOADS)}""")
 def payload_terms(d: Domain) -> DataFrame:
-    """Terms of nested finance payloads: a payment with a breakdown, and a percentage that is 100 times too large."""
-    q, rate = F.col("q").cast("string"), (F.col("high") * 100).cast("string")
-    payload = F.concat(
-        F.lit('{"PaymentsToPrincipal":{"PaymentsPaid":{"PaymentsGeneral":{"Payment":{"Type":"Upfront","Values":{"ValueConvertedToUSD":{"@text":"'), q,
-        F.lit('","@attributes":{"unit":"Million","currency":"USD"}}},"PaymentBreakdown":{"Payment":[{"Type":"Equity","Values":{"ValueReported":{"@text":"'), q,
-        F.lit('","@attributes":{"unit":"Thousand","currency":"EUR"}}}}]}}},"PaymentsPercentage":{"Payment":[{"Type":"Royalty","Values":{"ValueReported":{"@text":"'), rate, F.lit('"}}}]}}}}'),
-    )
-    return explode_terms(_contract_lines(d).select("id", payload.alias("payload")), "id", "payload").select("id", "basis", "type", "amount", "rate_low", "confidence")
+    """Terms of nested finance payloads, one of the literal payloads for each line."""
+    id_ = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    payload = F.element_at(F.array(*[F.lit(p) for p, _ in PAYLOADS]), (id_ % len(PAYLOADS) + 1).cast("int"))
+    return explode_terms(d.t("lineitem").select(id_.alias("id"), payload.alias("payload")), "id", "payload").select(
+        "id", "term", "amount", "amount_usd", "rate_low", "rate_high", "confidence", "breakdown"
+    )
+
+
+@query(f"""WITH x AS ({_INTS}) SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE q::DOUBLE END AS upfront, CASE WHEN id % 3 = 1 THEN 1000.0 * high WHEN id % 3 = 2 THEN high::DOUBLE END AS regulatory,
+ CASE WHEN id % 3 = 2 THEN q + 0.5::DOUBLE END AS development, CASE WHEN id % 3 = 0 THEN NULL ELSE low::DOUBLE END AS rate_low, CASE WHEN id % 3 = 1 THEN high::DOUBLE WHEN id % 3 = 2 THEN low::DOUBLE END AS rate_high, id % 3 = 0 AS undisclosed FROM x""")
+def finance_details(d: Domain) -> DataFrame:
+    """What lines of prose say of money: three wordings, one of which tells nothing."""
+    q, low, high = (F.col(c).cast("string") for c in ("q", "low", "high"))
+    one = F.concat(F.lit("An upfront payment of $"), q, F.lit(" million, up to €"), high, F.lit(" billion in regulatory milestones and royalties of "), low, F.lit("% to "), high, F.lit("% are due."))
+    two = F.concat(F.lit("$"), q, F.lit("M upfront; $"), q, F.lit(".5M in development and commercial milestones; regulatory milestones of up to $"), high, F.lit(" million; "), low, F.lit("% on net sales"))
+    told = F.when(F.col("id") % 3 == 0, F.lit("Financial terms not disclosed, though $9 million upfront is said.")).when(F.col("id") % 3 == 1, one).otherwise(two)
+    return details_of(_contract_lines(d).select("id", told.alias("text")), "id", "text").select("id", "upfront", "regulatory", "development", "rate_low", "rate_high", "undisclosed")
 
 
 @query("""SELECT event_id AS id, 'NCT' || lpad(event_id::VARCHAR, 8, '0') AS nct_id, (length(event_type) + 1)::BIGINT AS start FROM events""")
@@ -92,10 +122,33 @@ def calendar_export(d: Domain) -> DataFrame:
     return calendar_events(rows, "deal_id", "date_start", "title", "status")
 
 
-@query("""SELECT l_orderkey AS deal_id, CASE max(l_linenumber % 8) WHEN 0 THEN 'discovery' WHEN 1 THEN 'preclinical' WHEN 2 THEN 'phase 1' WHEN 3 THEN 'phase 2' WHEN 4 THEN 'phase 3' WHEN 5 THEN 'pre-registration' WHEN 6 THEN 'registered' ELSE 'launched' END AS phase FROM lineitem GROUP BY 1""")
+_PHASE_ROWS = ", ".join(f"({i}, '{n}', '{c}', {r})" for i, (n, c, r) in enumerate(phases.PHASES))
+_PHASES_SQL = f"""ph(i, name, code, rank) AS (VALUES {_PHASE_ROWS}),
+drug AS (SELECT l_orderkey AS deal_id, l_orderkey * 8 + l_linenumber AS drug_id, a.name AS start_name, a.code AS start_id, a.rank AS start_rank, b.name AS now, b.rank AS now_rank
+ FROM lineitem JOIN ph a ON a.i = l_partkey % {len(phases.PHASES)} JOIN ph b ON b.i = (l_partkey + l_linenumber) % {len(phases.PHASES)})"""
+
+
+def _phase_records(d: Domain) -> DataFrame:
+    """deal_id, xml: one expanded record for each deal; the phase at the start carries its id, the current one only its name."""
+    pick = lambda i, field: F.element_at(F.array(*[F.lit(p[field]) for p in phases.PHASES]), (i % len(phases.PHASES) + 1).cast("int"))
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    drug = F.concat(
+        F.lit('<Drug id="'), (F.col("l_orderkey") * 8 + line).cast("string"), F.lit('"><DrugNameDisplay>x</DrugNameDisplay><PhaseHighestStart id="'), pick(part, 1), F.lit('"> '), pick(part, 0),
+        F.lit(" </PhaseHighestStart><PhaseHighestNow>"), pick(part + line, 0), F.lit("</PhaseHighestNow></Drug>"),
+    )
+    rows = d.t("lineitem").groupBy(F.col("l_orderkey").alias("deal_id")).agg(F.sort_array(F.collect_list(drug)).alias("drugs"))
+    return rows.select("deal_id", F.concat(F.lit("<Deal><Drugs>"), F.array_join("drugs", ""), F.lit("</Drugs></Deal>")).alias("xml"))
+
+
+@query(f"WITH {_PHASES_SQL} SELECT deal_id, max_by(start_name, (start_rank, start_name)) AS at_start, max_by(now, (now_rank, now)) AS now FROM drug GROUP BY 1")
 def deal_phases(d: Domain) -> DataFrame:
-    names = F.element_at(F.array(*[F.lit(p) for p in PHASES]), (F.col("l_linenumber") % 8 + 1).cast("int"))
-    return d.t("lineitem").select(F.col("l_orderkey").alias("deal_id"), names.alias("name")).groupBy("deal_id").agg(highest_phase(F.col("name")).alias("phase"))
+    """A deal's highest phases, read from its archived XML record; of equal ranks the last by name."""
+    return phases.deal_phases(phases.drug_phases(_phase_records(d), "deal_id", "xml"), "deal_id")
+
+
+@query(f"WITH {_PHASES_SQL} SELECT deal_id, drug_id, start_name AS start, start_id, now, NULL::VARCHAR AS now_id FROM drug")
+def drug_phases(d: Domain) -> DataFrame:
+    return phases.drug_phases(_phase_records(d), "deal_id", "xml").drop("name")
 
 
 @query("""SELECT c_custkey AS id, lpad(c_custkey::VARCHAR, 10, '0') AS filer, c_custkey::VARCHAR AS bare, lower(replace(c_name, '#', '-')) || '.com' AS host, make_date(1990 + (c_custkey % 30)::INT, (1 + c_custkey % 12)::INT, 1)::VARCHAR AS day FROM customer WHERE c_custkey > 0""")

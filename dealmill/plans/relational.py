@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
 from dealmill.operators.filters import Dates, Money, Related, Scalar
+from dealmill.operators.quantiles import at_rank, quantiles, ranked
 from dealmill.operators.topk import Cursor, after, first_per_key, interleave, keyset_page, ordered
 from dealmill.plans.market import since, today
 
@@ -218,7 +219,9 @@ def agg_filtered(d: Domain) -> DataFrame:
 @query("""SELECT status, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.75), 4) AS p75,
  round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM (SELECT o_orderstatus AS status, o_totalprice FROM orders) GROUP BY 1""")
 def agg_percentiles(d: Domain) -> DataFrame:
-    return d.t("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(*[F.round(F.percentile("o_totalprice", q), 4).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95, 0.99)])
+    """Exact, by ranks over ranges of values: a status may hold any number of orders."""
+    rows = d.t("orders").select(F.col("o_orderstatus").alias("status"), "o_totalprice")
+    return quantiles(rows, ["status"], "o_totalprice", {f"p{int(q * 100)}": q for q in (0.25, 0.5, 0.75, 0.95, 0.99)}, lambda c: F.round(c, 4))
 
 
 @query("""SELECT principal_id, array_to_string((list_sort(list(DISTINCT category)))[1:3], ',') AS categories, string_agg(DISTINCT status, '; ' ORDER BY status) AS statuses FROM deals GROUP BY 1""")
@@ -244,9 +247,9 @@ def agg_mode(d: Domain) -> DataFrame:
 SELECT o_orderstatus AS status, count(*) AS eligible, count(best) AS with_terms, round(quantile_cont(best, 0.5), 4) AS median FROM orders LEFT JOIN per ON l_orderkey = o_orderkey GROUP BY 1""")
 def agg_two_levels(d: Domain) -> DataFrame:
     per = d.t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("best"))
-    return d.t("orders").join(per, "o_orderkey", "left").groupBy(F.col("o_orderstatus").alias("status")).agg(
-        F.count(F.lit(1)).alias("eligible"), F.count("best").alias("with_terms"), F.round(F.percentile("best", 0.5), 4).alias("median")
-    )
+    both = d.t("orders").join(per, "o_orderkey", "left").select(F.col("o_orderstatus").alias("status"), "best")
+    counts = both.groupBy("status").agg(F.count(F.lit(1)).alias("eligible"), F.count("best").alias("with_terms"))
+    return counts.join(quantiles(both, ["status"], "best", {"median": 0.5}, lambda c: F.round(c, 4)), "status", "left")
 
 
 @query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) FILTER (WHERE l_tax > 0) <= 1 THEN max(l_extendedprice) END AS top FROM lineitem GROUP BY 1""")
@@ -258,16 +261,12 @@ def agg_single_currency(d: Domain) -> DataFrame:
 @query("""WITH s AS (SELECT status, list_sort(list(total_value)) AS v FROM deals WHERE total_value IS NOT NULL GROUP BY 1)
 SELECT status, len(v) AS n, round(list_avg(v), 1) AS mean, CASE WHEN len(v) >= 4 THEN v[len(v) // 4 + 1] ELSE v[1] END AS q1, CASE WHEN len(v) >= 4 THEN v[3 * len(v) // 4 + 1] ELSE v[len(v)] END AS q3 FROM s""")
 def agg_rank_quartiles(d: Domain) -> DataFrame:
-    """Quartiles by position (n // 4), not interpolated: ranks within the status, no array of all values."""
+    """Quartiles by position (n // 4), not interpolated."""
     known = d.deals().where(F.col("total_value").isNotNull()).select("status", "total_value")
-    n = F.count(F.lit(1)).over(W.partitionBy("status"))
-    k = F.row_number().over(W.partitionBy("status").orderBy("total_value"))
-    placed = known.select("status", "total_value", n.alias("n"), k.alias("k"))
-    at = lambda place, name: F.max(F.when(F.col("k") == place, F.col("total_value"))).alias(name)
     small = F.col("n") < 4
-    return placed.groupBy("status", "n").agg(
+    return ranked(known, ["status"], "total_value").groupBy("status", "n").agg(
         F.round(F.avg("total_value"), 1).alias("mean"),
-        at(F.when(small, 1).otherwise(F.floor(F.col("n") / 4) + 1), "q1"), at(F.when(small, F.col("n")).otherwise(F.floor(3 * F.col("n") / 4) + 1), "q3"),
+        at_rank("total_value", F.when(small, 1).otherwise(F.floor(F.col("n") / 4) + 1)).alias("q1"), at_rank("total_value", F.when(small, F.col("n")).otherwise(F.floor(3 * F.col("n") / 4) + 1)).alias("q3"),
     )
 
 

@@ -192,5 +192,8 @@ def role_overlap(d: Domain) -> DataFrame:
 def ranked_companies(d: Domain) -> DataFrame:
     counts = d.deals().groupBy(F.col("principal_id").alias("company_id")).agg(F.count(F.lit(1)).alias("deals"))
     both = d.companies().join(counts, "company_id", "left").select("company_id", "name", F.coalesce("deals", F.lit(0)).alias("deals"))
-    place = F.rank().over(W.orderBy(F.desc("deals")))
-    return both.withColumn("place", place.cast("long")).where(F.col("place") <= 20)
+    # the place of a number of deals is one more than the companies that have more: one small row for each number
+    numbers = both.groupBy("deals").agg(F.count(F.lit(1)).alias("_c")).orderBy(F.desc("deals")).limit(20)
+    more = F.coalesce(F.sum("_c").over(W.orderBy(F.desc("deals")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = numbers.select("deals", (more + 1).alias("place")).where(F.col("place") <= 20)
+    return both.join(places, "deals").select("company_id", "name", "deals", "place")

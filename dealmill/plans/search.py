@@ -1,18 +1,19 @@
-"""Search: inverted index with BM25, snippets, exact vector search, hybrid fusion, federated groups."""
+"""Search over a stored inverted index: BM25, filters, excerpts; exact vector search, hybrid fusion, federated groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
 from dealmill.functions.vector import cosine
+from dealmill.operators.filters import any_of, contains
+from dealmill.operators.text_index import TextIndex, excerpt
 from dealmill.operators.topk import first_per_key, interleave, reciprocal_ranks
 
 QUERIES, SQL = {}, {}
 TERMS = ("the", "und", "que")
-K1, B = 1.2, 0.75
 
 
 def query(sql: str | None = None):
@@ -25,37 +26,8 @@ def query(sql: str | None = None):
     return put
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def inverted_index(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf, size: one row for each term of each document; pre-aggregated in the task that read it."""
-    words = documents.select(key, tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    return words.select(key, F.size("w").cast("long").alias("size"), F.explode("w").alias("term")).groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(documents: DataFrame, terms: tuple[str, ...], every: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score of the documents that hold all (or any) of the terms.
-
-    One pass over the texts: only the asked terms are counted, so nothing but their counts is shuffled.
-    """
-    is_term = lambda t: lambda x: x == t
-    words = documents.select(key, tokens(F.col(text)).alias("w"))
-    counted = words.select(key, F.size("w").cast("long").alias("size"), *[F.size(F.filter("w", is_term(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
-    )
-    scored = counted.crossJoin(stats)  # one row of statistics
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    held = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    keep = held[0]
-    for h in held[1:]:
-        keep = (keep & h) if every else (keep | h)
-    return scored.where(keep).select(key, F.round(score, 6).alias("score"))
+def documents_index(d: Domain) -> TextIndex:
+    return TextIndex.of(d.t("documents"), f"{d.dir}/documents.parquet", columns=("source", "lang"))
 
 
 _BM25_SQL = """c AS (SELECT doc_id, source, lang, text, len(w) AS size, {tfs} FROM (
@@ -76,20 +48,40 @@ def _bm25_sql(terms: tuple[str, ...], every: bool) -> str:
 
 @query(f"WITH {_bm25_sql(TERMS[:1], True)} SELECT doc_id, source, score FROM scored QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
 def search_best_per_source(d: Domain) -> DataFrame:
-    hits = bm25(d.t("documents"), TERMS[:1]).join(d.t("documents").select("doc_id", "source"), "doc_id")
+    index = documents_index(d)
+    hits = index.search(TERMS[:1]).join(index.documents.select("doc_id", "source"), "doc_id")
     return first_per_key(hits, ["source"], [F.desc("score"), F.col("doc_id")]).select("doc_id", "source", "score")
 
 
 @query(f"WITH {_bm25_sql(('the', 'and'), True)} SELECT doc_id, score FROM scored WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 100")
 def search_full_text(d: Domain) -> DataFrame:
-    hits = bm25(d.t("documents"), ("the", "and"))
-    english = d.t("documents").where(F.col("lang") == "en").select("doc_id")
-    return hits.join(english, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(100)
+    return documents_index(d).search(("the", "and"), where=F.col("lang") == "en").orderBy(F.desc("score"), "doc_id").limit(100)
+
+
+@query(f"WITH {_bm25_sql(('die', 'que'), False)} SELECT doc_id, score FROM scored WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2) AND lang <> 'en' AND NOT list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), 'und') ORDER BY score DESC, doc_id LIMIT 50")
+def search_any_without(d: Domain) -> DataFrame:
+    """Any of two terms, without a third, in two sources and not in one language."""
+    index = documents_index(d)
+    two = [r.source for r in index.documents.select("source").where(F.col("source").isNotNull()).distinct().orderBy("source").limit(2).collect()]  # names of two sources
+    keep = F.col("source").isin(*two) & (F.col("lang") != "en")
+    return index.search(("die", "que"), every=False, without=("und",), where=keep).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+_AT = "len(regexp_extract(lower(text), '(?s)^(.*?)(?:^|[^\\p{L}\\p{N}])(?:the|and)(?:$|[^\\p{L}\\p{N}])', 1))"
+
+
+@query(f"WITH {_bm25_sql(('the', 'and'), True)}, top AS (SELECT * FROM scored WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, source, score, substr(text, greatest(1, CASE WHEN regexp_matches(lower(text), '^(the|and)($|[^\\p{{L}}\\p{{N}}])') THEN 1 ELSE {_AT} + 2 END - 40), 160) AS excerpt FROM top")
+def search_excerpts(d: Domain) -> DataFrame:
+    """The best page with excerpts: only the texts of the page are read."""
+    index = documents_index(d)
+    top = index.search(("the", "and"), where=F.col("lang") == "en").orderBy(F.desc("score"), "doc_id").limit(20)
+    texts = d.t("documents").select("doc_id", "source", "text")
+    return texts.join(top, "doc_id").select("doc_id", "source", "score", excerpt(F.col("text"), ("the", "and")).alias("excerpt"))
 
 
 @query("""SELECT term, count(*) AS docs, sum(tf)::BIGINT AS n FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL) GROUP BY 1""")
 def index_terms(d: Domain) -> DataFrame:
-    return inverted_index(d.t("documents")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"))
+    return documents_index(d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"))
 
 
 @query("""SELECT doc_id, substr(text, greatest(1, strpos(lower(text), 'license') - 40), 120) AS snippet FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id OFFSET 5 LIMIT 20""")
@@ -126,7 +118,7 @@ SELECT id, round(sum(1 / (60 + rank)), 8) AS score FROM (FROM lexical UNION ALL
 def hybrid_search(d: Domain) -> DataFrame:
     ranked = lambda df, key: df.orderBy(F.desc("score"), key).limit(50).select(F.col(key).alias("id"), F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank"))
     near = d.t("embeddings").crossJoin(query_vector(d)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    return reciprocal_ranks([ranked(bm25(d.t("documents"), ("the",)), "doc_id"), ranked(near, "vec_id")], 30)
+    return reciprocal_ranks([ranked(documents_index(d).search(("the",)), "doc_id"), ranked(near, "vec_id")], 30)
 
 
 @query("""SELECT dataset, id, name FROM (
@@ -146,7 +138,7 @@ def federated_search(d: Domain) -> DataFrame:
 b AS (SELECT 1 AS source, page_id AS id, row_number() OVER (ORDER BY length(html) DESC, page_id) AS turn FROM pages WHERE contains(lower(html), 'the'))
 SELECT source, id, turn::INT AS turn FROM (FROM a UNION ALL FROM b) ORDER BY turn, source LIMIT 20""")
 def unified_search(d: Domain) -> DataFrame:
-    docs = bm25(d.t("documents"), ("the",)).select(F.col("doc_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(20)
+    docs = documents_index(d).search(("the",)).select(F.col("doc_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(20)
     pages = d.t("pages").where(F.lower("html").contains("the")).select(F.col("page_id").alias("id"), F.char_length("html").alias("score")).orderBy(F.desc("score"), "id").limit(20)
     return interleave([docs, pages], 20)
 
@@ -155,3 +147,39 @@ def unified_search(d: Domain) -> DataFrame:
 def autocomplete(d: Domain) -> DataFrame:
     first = F.when(F.col("name").ilike("customer#00000000%"), 0).otherwise(1)
     return d.companies().where(F.col("name").ilike("%00000000%")).orderBy(first, F.char_length("name"), "name").limit(8).select("name")
+
+
+@query(f"WITH {_bm25_sql(('the',), True)} SELECT doc_id AS id, round(1 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 8) AS score FROM scored ORDER BY score DESC, id LIMIT 30")
+def hybrid_without_vector(d: Domain) -> DataFrame:
+    """Hybrid search whose query has no vector: the text ranking stands alone."""
+    asked = query_vector(d, -1)
+    text = documents_index(d).search(("the",)).orderBy(F.desc("score"), "doc_id").limit(50)
+    ranked = text.select(F.col("doc_id").alias("id"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"))
+    near = d.t("embeddings").crossJoin(asked).select("vec_id", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(50)
+    near = near.select(F.col("vec_id").alias("id"), F.row_number().over(W.orderBy(F.desc("score"), "vec_id")).alias("rank"))
+    return reciprocal_ranks([ranked, near], 30)
+
+
+@query(f"""WITH s AS (SELECT e.vec_id, e.label, {_COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1)
+SELECT vec_id, label, round(s, 6) AS score FROM best ORDER BY s DESC, vec_id LIMIT 20""")
+def vector_diverse(d: Domain) -> DataFrame:
+    """The nearest vector of each label, then the nearest of those: no label comes twice."""
+    rows = d.t("embeddings").where(F.col("vec_id") != 0).crossJoin(query_vector(d)).select("vec_id", "label", cosine(F.col("embedding"), F.col("asked")).alias("s"))
+    best = first_per_key(rows, ["label"], [F.desc("s"), F.col("vec_id")])
+    return best.orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", "label", F.round("s", 6).alias("score"))
+
+
+def optional_search(rows: DataFrame, columns: tuple[str, ...], asked: str | None, order: list, limit: int) -> DataFrame:
+    """Rows that hold ``asked`` in one of the columns, those where the first column starts with it first; all rows without it."""
+    if asked:
+        rows = rows.where(F.coalesce(any_of([contains(F.col(c), asked) for c in columns]), F.lit(False)))
+        order = [F.when(F.lower(columns[0]).startswith(asked.lower()), 0).otherwise(1), *order]
+    return rows.orderBy(*order).limit(limit)
+
+
+@query("""SELECT 'asked' AS how, p_partkey AS id FROM (SELECT * FROM part WHERE p_name ILIKE '%12%' OR p_brand ILIKE '%12%' ORDER BY CASE WHEN starts_with(lower(p_name), '12') THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey LIMIT 25)
+UNION ALL SELECT 'open', p_partkey FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25)""")
+def search_optional_query(d: Domain) -> DataFrame:
+    """The same list with and without a query."""
+    page = lambda asked, how: optional_search(d.t("part"), ("p_name", "p_brand"), asked, [F.desc("p_retailprice"), F.col("p_partkey")], 25).select(F.lit(how).alias("how"), F.col("p_partkey").alias("id"))
+    return page("12", "asked").unionByName(page(None, "open"))

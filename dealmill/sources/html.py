@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _LEFT_OUT = {"script", "style", "head", "nav", "footer", "noscript"}
 
@@ -38,9 +42,30 @@ def html_text(page: str | None) -> str:
     return re.sub(r"\s+", " ", "".join(parser.out)).strip()
 
 
-def plain_text(pages: DataFrame, key: str, html: str) -> DataFrame:
+def plain_text(pages: DataFrame, key: str, page: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([html_text(h) for h in b.column(1).to_pylist()], pa.string())], [key, "content"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} long, content string")
+    return pages.select(key, page).mapInArrow(run, f"{key} long, content string")
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Character references decoded; a no-break space is a space."""
+    return texts.map(lambda t: html.unescape(t).replace("\xa0", " "), na_action="ignore")
+
+
+def clean_contracts(contracts: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``: tagged contract text as plain text, numbered titles as headings of two levels; null gives "".
+
+    Line and paragraph tags break lines, other tags and page marks (- 41 -) go, lines are trimmed, and more than one
+    empty line in a row is one. An upper-case title behind "7." is a heading, one behind "7.1" a lesser one.
+    """
+    t = F.when(F.col(text).contains("&") | F.col(text).contains("\u00a0"), _decoded(F.col(text))).otherwise(F.col(text))
+    for pattern, by in (
+        (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?para>", "\n\n"), (r"<[^>]+>", ""), (r"-\s*\d+\s*-", ""), (r"(?m)^[^\S\n]+|[^\S\n]+$", ""),
+        (r"""(?m)^(\d+)\.[^\S\n]+([A-Z][A-Z \t,;&'"()\-/]+)$""", "## $1. $2"), (r"(?m)^(\d+(?:\.\d+)+)[^\S\n]+(.+)$", "### $1 $2"), (r"\n{3,}", "\n\n"),
+    ):
+        t = F.regexp_replace(t, pattern, by)
+    return contracts.withColumn(name, F.coalesce(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit("")))

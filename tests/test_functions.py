@@ -26,15 +26,28 @@ def test_amounts_and_rates():
     assert finance.describe("terms were not disclosed")["undisclosed"]
 
 
+def test_prose_details():
+    told = finance.describe("Upfront payment of $50 million, €1.2 billion in clinical milestones, regulatory milestones of up to $30M, tiered royalties of 5% to 12%, total value of approximately $2 billion.")
+    assert told == {"upfront": (50.0, "USD"), "development": (1200.0, "EUR"), "regulatory": (30.0, "USD"), "commercial": None, "total": (2000.0, "USD"), "royalties": (5.0, 12.0), "undisclosed": False}
+    assert finance.describe("$20 million in milestones")["development"] == (20.0, "USD")
+    assert finance.describe("$20 million in development and commercial milestones")["development"] == (20.0, "USD")
+    assert finance.describe("an 8% royalty")["royalties"] == (8.0, 8.0) and finance.describe("8% of staff")["royalties"] is None
+    assert finance.describe("No financial terms disclosed; $5 million upfront")["upfront"] is None and finance.describe(None)["total"] is None
+
+
 def test_payload_terms():
-    payload = {"PaymentsToPrincipal": {"PaymentsPaid": {
-        "PaymentsGeneral": {"Payment": [{"Type": "Upfront", "Values": {"ValueConvertedToUSD": {"@text": "10", "@attributes": {"unit": "Million", "currency": "USD"}}},
-                                         "PaymentBreakdown": {"Payment": {"Type": "Equity", "Values": {"ValueReported": {"@text": "500", "@attributes": {"unit": "Thousand", "currency": "EUR"}}}}}}]},
-        "PaymentsPercentage": {"Payment": {"Type": "Royalty", "Values": {"ValueReported": {"@text": "1250"}}}},
-    }}}
-    rows = finance.payload_terms(payload)
-    assert [(r["type"], r["amount"], r["rate_low"]) for r in rows] == [("Upfront", 10.0, None), ("Equity", 0.5, None), ("Royalty", None, 12.5)]
-    assert finance.payload_terms(None) == []
+    """Rows of the literal payloads: nested breakdowns, accuracy marks, money labelled as a percentage, thousands and trillions."""
+    import json
+
+    from dealmill.plans.ingest import PAYLOADS
+
+    for payload, want in PAYLOADS:
+        rows = finance.payload_terms(json.loads(payload))
+        assert [(r["term"], r["amount"], r["amount_usd"], r["rate_low"], r["rate_high"], r["confidence"], r["breakdown"]) for r in rows] == list(want)
+    first = finance.payload_terms(json.loads(PAYLOADS[0][0]))
+    assert [r["path"] for r in first] == ["PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0]", "PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0].PaymentBreakdown.Payment[0]"]
+    assert finance.payload_terms(None) == finance.payload_terms({"PaymentsToPrincipal": {"PaymentsPaid": None}}) == []
+    assert [finance.term_type(t) for t in ("Dev/Reg Milestones", "Royalty", "Equity Purchase!", None)] == ["development_regulatory_milestone", "royalty_payment", "equity_purchase", "unspecified"]
 
 
 def test_clauses():
@@ -61,6 +74,12 @@ def test_phases(spark):
     assert {r.id: r.h for r in df.groupBy("id").agg(highest_phase(F.col("p")).alias("h")).collect()} == {1: "Launched", 2: "Discontinued"}
 
 
+def test_phases_go_by_id_then_name_and_the_last_of_equal_ranks(spark):
+    rows = [(1, "odd", "C3"), (1, "Phase 2 Clinical", None), (2, "Suspended", None), (2, "withdrawn", "W"), (3, "", "L"), (4, "NDR?", "ndr")]
+    got = spark.createDataFrame(rows, "id int, p string, c string").groupBy("id").agg(highest_phase(F.col("p"), F.col("c")).alias("h"))
+    assert {r.id: r.h for r in got.collect()} == {1: "odd", 2: "withdrawn", 3: None, 4: "NDR?"}
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, 2.0, "Billion", "USD"), (2, 500.0, "Million", "EUR"), (3, None, "Million", "USD")], "id int, a double, u string, c string")
     ids = lambda m: [r.id for r in df.where(m.on(F.col("a"), F.col("u"), F.col("c"))).orderBy("id").collect()]
@@ -157,3 +176,37 @@ def test_folded_lines_are_short_and_whole(line):
     folded = sinks.fold_line(line).split("\r\n")
     assert all(len(x.encode()) <= 75 for x in folded)
     assert folded[0] + "".join(x[1:] for x in folded[1:]) == line
+
+
+def test_quantiles_of_skewed_groups(spark):
+    from dealmill.operators.quantiles import quantiles
+
+    rows = [("hot", float(i * 7 % 1000)) for i in range(1000)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: (r.a, r.b) for r in quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5}).collect()}
+    assert got == {"hot": (249.75, 499.5), "one": (3.0, 3.0), "two": (1.25, 1.5)}
+
+
+def test_text_index_is_stored_once(spark, tmp_path):
+    from dealmill.operators.text_index import TextIndex
+
+    path = str(tmp_path / "docs")
+    df = spark.createDataFrame([(1, "Red red fish", "a"), (2, "blue fish", "a"), (3, None, "b"), (4, "", "b")], "doc_id long, text string, source string")
+    df.write.parquet(path)
+    index = TextIndex.of(spark.read.parquet(path), path, columns=("source",))
+    again = TextIndex.of(spark.read.parquet(path), path, columns=("source",))
+    assert index.postings.inputFiles() == again.postings.inputFiles() and index.n == 4
+    ids = lambda **k: sorted(r.doc_id for r in index.search(**k).collect())
+    assert ids(terms=("fish",)) == [1, 2] and ids(terms=("fish", "red")) == [1] and ids(terms=("blue", "red"), every=False) == [1, 2]
+    assert ids(terms=("fish",), without=("blue",)) == [1] and ids(terms=("fish",), where=F.col("source") == "b") == []
+    df.write.mode("append").parquet(path)
+    assert TextIndex.of(spark.read.parquet(path), path, columns=("source",)).n == 8
+
+
+def test_snapped_chunks(spark):
+    from dealmill.plans.extraction import snapped_chunks
+
+    text = "One two three four. Five six\n\nseven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, text), (2, "  "), (3, None), (4, " few words ")], "doc_id long, text string")
+    got = {(r.doc_id, r.chunk): r.content for r in snapped_chunks(df, 8, 2).collect()}
+    assert got == {(1, 0): "One two three four. Five six", (1, 1): "seven eight nine ten eleven twelve", (4, 0): " few words "}
