@@ -206,7 +206,9 @@ def test_text_index_is_stored_once(spark, tmp_path):
 def test_snapped_chunks(spark):
     from dealmill.plans.extraction import snapped_chunks
 
-    text = "One two three four. Five six\n\nseven eight nine ten eleven twelve"
+    text = "One two three four. Five six seven\n\neight nine ten eleven twelve"  # 34 of 42 characters: behind 0.7 of the window
     df = spark.createDataFrame([(1, text), (2, "  "), (3, None), (4, " few words ")], "doc_id long, text string")
     got = {(r.doc_id, r.chunk): r.content for r in snapped_chunks(df, 8, 2).collect()}
-    assert got == {(1, 0): "One two three four. Five six", (1, 1): "seven eight nine ten eleven twelve", (4, 0): " few words "}
+    assert got == {(1, 0): "One two three four. Five six seven", (1, 1): "seven\n\neight nine ten eleven twelve", (4, 0): " few words "}
+    early = spark.createDataFrame([(1, "One two. Three four five six seven eight nine ten")], "doc_id long, text string")
+    assert [r.content for r in snapped_chunks(early, 8, 2).orderBy("chunk").collect()] == ["One two. Three four five six seven eight", "seven eight nine ten"]
