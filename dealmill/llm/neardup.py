@@ -232,15 +232,36 @@ class Sets:
         return linked
 
 
+def _comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """lo, hi and the rows of each comparison (grp, lo, hi), whose rows lie next to one another, one at a time."""
+    rows, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("grp", "lo", "hi")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):  # noqa: B905
+            key = tuple(keys[at].tolist())
+            if rows and key != last:
+                yield last[1], last[2], pa.Table.from_batches(rows)
+                rows = []
+            rows.append(batch.slice(at, end - at))
+            last = key
+    if rows:
+        yield last[1], last[2], pa.Table.from_batches(rows)
+
+
 def _between(measure):
-    """A task with one or two blocks of a group (block lo, block hi): edges a, b of a spanning forest of its links."""
+    """Rows of comparisons of one or two blocks, in order: edges a, b of a spanning forest of each one's links."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id"]).sort_values(["block", "doc_id"])
-        ids, blocks, lo, hi = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy(), int(key[1]), int(key[2])
+    def forest(lo: int, hi: int, rows: pa.Table) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        ids, blocks = rows.column("doc_id").to_numpy(), rows.column("block").to_numpy()
+        fresh = np.concatenate(([True], ids[1:] != ids[:-1]))
+        data = [x for x, new in zip(rows.column("data").to_pylist(), fresh, strict=True) if new]
+        ids, blocks = ids[fresh], blocks[fresh]
         left = np.flatnonzero(blocks == lo)
         right = left if lo == hi else np.flatnonzero(blocks == hi)
-        links = measure(list(pdf["data"]), right)
+        links = measure(data, right)
 
         def pairs():
             for k, i in enumerate(left):
@@ -248,12 +269,35 @@ def _between(measure):
                 if at < len(right):
                     yield i, right[at:][links(i, at)]
 
-        found = _forest(len(pdf), pairs())
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+        return ids, _forest(len(ids), pairs())
+
+    def edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for lo, hi, rows in _comparisons(batches):
+            ids, found = forest(lo, hi, rows)
+            a += [int(ids[i]) for i, _ in found]
+            b += [int(ids[j]) for _, j in found]
+            if len(a) >= 4096:
+                yield edges(a, b)
+                a, b = [], []
+        yield edges(a, b)
 
     return run
 
 
+def _compared(rows: DataFrame, measure) -> DataFrame:
+    """Edges a, b of the comparisons (grp, lo, hi) of rows (doc_id, block, data).
+
+    Each comparison's rows are brought together and in order by Spark and go through Arrow as a stream: most
+    comparisons are of a few rows, and a call of its own for each would cost more than the comparison.
+    """
+    ordered = rows.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "block", "doc_id")
+    return ordered.mapInArrow(_between(measure), "a long, b long")
+
+
 def _to_heads(measure):
     """A block of members and the group's heads: doc_id with its first head that it is linked with, or null."""
 
@@ -287,10 +331,9 @@ def links_in_groups(rows: DataFrame, measure, block: int, n_heads: int = 8) -> D
     are not yet connected is lost. The work on a group is its size times its rest; only a group most of whose
     members are linked with no head costs the square of its size.
     """
-    out = "a long, b long"
     sized = materialize(_group_sizes(rows), "grouped")
     whole = sized.where(F.col("n") <= block).select("grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "doc_id", F.lit(0).alias("block"), "data")
-    small = whole.groupBy("grp", "lo", "hi").applyInPandas(_between(measure), out)
+    small = _compared(whole, measure)
     large = sized.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     if not large.limit(1).count():
         return small
@@ -315,7 +358,7 @@ def links_in_groups(rows: DataFrame, measure, block: int, n_heads: int = 8) -> D
     last = F.when(in_bulk, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("bulk_blocks")) - 1
     pairs = open_rows.withColumn("block", place).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     pairs = pairs.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "data")
-    rest = pairs.groupBy("grp", "lo", "hi").applyInPandas(_between(measure), out)
+    rest = _compared(pairs, measure)
     stars = tied.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     return small.unionByName(stars).unionByName(rest)
 

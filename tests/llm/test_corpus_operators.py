@@ -111,6 +111,30 @@ def test_word_digests_follow_the_words():
         assert len(ids) == len(words) and len(set(zip(ids.tolist(), words))) == len(set(words)) == len(set(ids.tolist()))
 
 
+def test_comparisons_reach_over_batches_and_hold_repeated_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from dealmill.llm.neardup import Sets, _between
+
+    def packed(*members):
+        return np.array(members, np.uint64).tobytes()
+
+    # grp, lo, hi, doc_id, block, data: a group whose rows come in three batches, one of two blocks, one of one row
+    rows = [
+        (1, 0, 0, 1, 0, packed(1, 2, 3, 4)), (1, 0, 0, 2, 0, packed(1, 2, 3, 4)), (1, 0, 0, 2, 0, packed(1, 2, 3, 4)), (1, 0, 0, 3, 0, packed(9)),
+        (1, 0, 0, 4, 0, packed(2, 3, 4)), (2, 0, 1, 5, 0, packed(7, 8)), (2, 0, 1, 6, 0, packed(7, 8)), (2, 0, 1, 7, 1, packed(7, 8)), (3, 0, 0, 8, 0, packed(1)),
+    ]
+    names = ["grp", "lo", "hi", "doc_id", "block", "data"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    for size in (1, 2, 3, 100):
+        batches = [pa.RecordBatch.from_pylist([], schema=table.schema), *table.to_batches(max_chunksize=size)]
+        found = [e for out in _between(Sets(75))(iter(batches)) for e in zip(*out.to_pydict().values(), strict=True)]
+        # 5 and 6 are of one block and are not compared here
+        assert sorted(tuple(sorted(e)) for e in found) == [(1, 2), (1, 4), (5, 7), (6, 7)]
+    assert [out.num_rows for out in _between(Sets(75))(iter([]))] == [0]
+
+
 def test_near_duplicates_edge_tables(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, " \t"), (4, "x"), (5, "x"), (5, "x"), (None, "x")], "doc_id long, text string")
     rows = neardup.near_duplicates(df).collect()
