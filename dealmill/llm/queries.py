@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealmill.llm import ann, chat, decontam, html_extract, licenses, mixing, neardup, tokens, toxicity, urls
+from dealmill.llm import ann, chat, decontam, divergence, html_extract, licenses, mixing, neardup, negatives, quality, tokens, toxicity, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_urls": urls.op9_urls,
     "op10_extract": html_extract.op10_extract,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_quality": quality.op13_quality,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op5_mix": mixing.mix_sql(),
     "op8_decontaminate": decontam.OP8_SQL,
     "op9_urls": urls.urls_sql(),
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
