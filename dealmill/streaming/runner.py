@@ -5,21 +5,43 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dealmill.catalog import SCHEMAS
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, shared by driver and executors; set once where it is unset."""
+    """A fresh folder below spark.checkpoint.dir, shared by driver and executors; on one machine, where it is unset, a folder for temporary files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints", "dealmill")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which processors with timers and maps need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 4) -> DataFrame:
     """A table as a file stream."""
     return (
@@ -30,14 +52,16 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs ``stream`` over all input there is and returns what it put out.
 
-    Append writes each batch once; complete replaces the last state by each batch's.
+    Append writes each batch once; complete replaces the last state by each batch's. What the run kept for a restart goes.
     """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).outputMode(mode)
     out = f"{path}/out"
-    if mode == "append":
-        running = writer.format("parquet").option("path", out).start()
-    else:
-        running = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    running.awaitTermination()
+    with keyed_state(spark):
+        if mode == "append":
+            running = writer.format("parquet").option("path", out).start()
+        else:
+            running = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        running.awaitTermination()
+    delete(spark, f"{path}/_checkpoint")
     return spark.read.schema(stream.schema).parquet(out)
