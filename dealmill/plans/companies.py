@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dealmill.domain import Domain, with_domain
 from dealmill.functions.text import company_key, trigram_similarity, trigrams
 from dealmill.operators.topk import first_per_key
-from dealmill.plans.market import QUARTILES_SQL, VALUES_SQL, quartiles, since, today, values
+from dealmill.plans.market import QUARTILES_SQL, VALUES_SQL, since, today, values, with_quartiles
 
 QUERIES, SQL = {}, {}
 
@@ -169,7 +169,7 @@ def recommendations(d: Domain) -> DataFrame:
 
 @query(f"SELECT area, category, {VALUES_SQL}, {QUARTILES_SQL} FROM deal_areas, as_of WHERE date_start >= today - INTERVAL 3 YEAR GROUP BY ALL")
 def topic_briefing(d: Domain) -> DataFrame:
-    return d.deal_areas().where(since(3)).groupBy("area", "category").agg(*values(), *quartiles())
+    return d.deal_areas().where(since(3)).transform(with_quartiles, "area", "category").drop("min_value", "max_value")
 
 
 @query("""SELECT count(*) AS deals, count(*) FILTER (WHERE p.nation_id <> c.nation_id) AS cross_border, round(avg(total_value) FILTER (WHERE p.nation_id <> c.nation_id), 4) AS avg_cross

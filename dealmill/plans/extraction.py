@@ -105,7 +105,7 @@ def snapped_chunks(documents: DataFrame, size: int = 800, overlap: int = 125, ke
 c AS (SELECT doc_id, lang, text, len(p) AS n, chunk, array_to_string(p[chunk * 45 + 1:chunk * 45 + 60], '') AS c FROM (SELECT *, unnest(range(greatest(ceil((len(p) - 60) / 45)::INT, 0) + 1)) AS chunk FROM w)),
 s AS (SELECT *, regexp_extract(c, '(?s)^(.*)\n\n', 1) AS para, regexp_extract(c, '(?s)^(.*[.!?])[ \n]', 1) AS sent FROM c)
 SELECT doc_id, lang AS section, chunk::INT AS chunk, md5(CASE WHEN n <= 60 THEN text WHEN chunk * 45 + 60 >= n THEN c ELSE regexp_replace(
- CASE WHEN contains(c, chr(10) || chr(10)) AND length(para) > 0.7 * length(c) THEN para WHEN sent <> '' AND length(sent) - 1 > 0.7 * length(c) THEN sent ELSE c END, '\s+$', '') END) AS content FROM s""")
+ CASE WHEN contains(c, chr(10) || chr(10)) AND length(para) > 0.7::DOUBLE * length(c) THEN para WHEN sent <> '' AND length(sent) - 1 > 0.7::DOUBLE * length(c) THEN sent ELSE c END, '\s+$', '') END) AS content FROM s""")
 def section_chunks(d: Domain) -> DataFrame:
     """Chunks that end where a paragraph or sentence ends, with the section they are of."""
     rows = d.t("documents").withColumnRenamed("lang", "section")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealmill.domain import AS_OF, Domain, with_domain
+from dealmill.operators.quantiles import described
 from dealmill.operators.topk import first_per_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,9 +46,13 @@ def values() -> list[Column]:
     return [F.count(F.lit(1)).alias("deal_count"), F.count(v).alias("disclosed_count"), F.round(F.sum(v), 2).alias("sum_value"), F.round(F.avg(v), 4).alias("avg_value")]
 
 
-def quartiles() -> list[Column]:
-    """Interpolated quartiles of the disclosed values."""
-    return [F.round(F.percentile("total_value", q), 4).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+def with_quartiles(deals: DataFrame, *keys: str) -> DataFrame:
+    """values() of groups, with extremes and interpolated quartiles of the disclosed values; a group may hold any number of deals."""
+    rows = described(deals, keys, "total_value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, lambda c: F.round(c, 4))
+    return rows.select(
+        *keys, F.col("rows").alias("deal_count"), F.col("known").alias("disclosed_count"), F.round("total", 2).alias("sum_value"), F.round("mean", 4).alias("avg_value"),
+        F.col("least").alias("min_value"), F.col("most").alias("max_value"), "p25", "p50", "p75",
+    )
 
 
 VALUES_SQL = "count(*) AS deal_count, count(total_value) AS disclosed_count, round(sum(total_value), 2) AS sum_value, round(avg(total_value), 4) AS avg_value"
@@ -75,7 +80,7 @@ def valuations_by_phase(d: Domain) -> DataFrame:
     stages = d.t("lineitem").join(d.t("part"), F.col("l_partkey") == F.col("p_partkey"))
     first = first_per_key(stages.select("l_orderkey", "l_shipdate", "l_linenumber", "p_partkey", "p_type"), ["l_orderkey"], [F.col("l_shipdate").asc_nulls_last(), F.col("l_linenumber"), F.col("p_partkey")])
     first = first.select(F.col("l_orderkey").alias("deal_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("phase"))
-    return d.deals().where(since(10)).join(first, "deal_id").groupBy("phase").agg(*values(), F.min("total_value").alias("min_value"), F.max("total_value").alias("max_value"), *quartiles())
+    return d.deals().where(since(10)).join(first, "deal_id").transform(with_quartiles, "phase")
 
 
 @query(f"""SELECT p_brand AS indication, {VALUES_SQL}, {QUARTILES_SQL} FROM (
@@ -84,14 +89,14 @@ GROUP BY 1 HAVING count(total_value) >= 5 ORDER BY avg_value DESC NULLS LAST, in
 def valuations_by_indication(d: Domain) -> DataFrame:
     bridge = d.deal_assets().join(d.t("part").select(F.col("p_partkey").alias("asset_id"), F.col("p_brand").alias("indication")), "asset_id").select("deal_id", "indication").distinct()
     return (
-        d.deals().where(since(10)).join(bridge, "deal_id").groupBy("indication").agg(*values(), *quartiles())
+        d.deals().where(since(10)).join(bridge, "deal_id").transform(with_quartiles, "indication").drop("min_value", "max_value")
         .where(F.col("disclosed_count") >= 5).orderBy(F.desc_nulls_last("avg_value"), "indication").limit(20)
     )
 
 
 @query(f"SELECT coalesce(nullif(agreement_type, ''), 'Unknown') AS deal_type, {VALUES_SQL}, {QUARTILES_SQL} FROM deals GROUP BY 1")
 def valuations_by_type(d: Domain) -> DataFrame:
-    return d.deals().groupBy(F.coalesce(F.nullif("agreement_type", F.lit("")), F.lit("Unknown")).alias("deal_type")).agg(*values(), *quartiles())
+    return d.deals().withColumn("deal_type", F.coalesce(F.nullif("agreement_type", F.lit("")), F.lit("Unknown"))).transform(with_quartiles, "deal_type").drop("min_value", "max_value")
 
 
 @query("""SELECT d.deal_id, d.total_value, d.date_start, c.name AS principal, (

@@ -265,7 +265,7 @@ def agg_rank_quartiles(d: Domain) -> DataFrame:
     known = d.deals().where(F.col("total_value").isNotNull()).select("status", "total_value")
     small = F.col("n") < 4
     return ranked(known, ["status"], "total_value").groupBy("status", "n").agg(
-        F.round(F.avg("total_value"), 1).alias("mean"),
+        F.round(F.sum(F.col("total_value") * F.col("count")) / F.max("n"), 1).alias("mean"),
         at_rank("total_value", F.when(small, 1).otherwise(F.floor(F.col("n") / 4) + 1)).alias("q1"), at_rank("total_value", F.when(small, F.col("n")).otherwise(F.floor(3 * F.col("n") / 4) + 1)).alias("q3"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
+from dealmill.operators.quantiles import described
 from dealmill.operators.topk import first_per_key, keyset_page
 from dealmill.plans.market import VALUES_SQL, since, today, values
 
@@ -125,7 +126,8 @@ def milestone_benchmarks(d: Domain) -> DataFrame:
     """Largest milestone of each deal first, then the median over deals, beside how many were eligible."""
     parts = d.t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("area"))
     per = d.t("lineitem").join(parts, "l_partkey").groupBy("area", F.col("l_orderkey").alias("deal_id")).agg(F.max(F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice"))).alias("top"))
-    return per.groupBy("area").agg(F.count(F.lit(1)).alias("eligible"), F.count("top").alias("with_terms"), F.round(F.percentile("top", 0.5), 4).alias("median_top"))
+    rows = described(per, ["area"], "top", {"median_top": 0.5}, lambda c: F.round(c, 4))
+    return rows.select("area", F.col("rows").alias("eligible"), F.col("known").alias("with_terms"), "median_top")
 
 
 @query(f"SELECT status, {VALUES_SQL} FROM deal_areas, as_of WHERE area = 'ASIA' AND date_start >= TIMESTAMP '1998-01-01' AND date_start < TIMESTAMP '1999-01-01' GROUP BY 1")

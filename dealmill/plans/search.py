@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dealmill.domain import Domain, with_domain
 from dealmill.functions.vector import cosine
 from dealmill.operators.filters import any_of, contains
-from dealmill.operators.text_index import TextIndex, excerpt
+from dealmill.operators.text_index import STOP_WORDS, TextIndex, Words, excerpt
 from dealmill.operators.topk import first_per_key, interleave, reciprocal_ranks
 
 QUERIES, SQL = {}, {}
@@ -183,3 +183,29 @@ def search_optional_query(d: Domain) -> DataFrame:
     """The same list with and without a query."""
     page = lambda asked, how: optional_search(d.t("part"), ("p_name", "p_brand"), asked, [F.desc("p_retailprice"), F.col("p_partkey")], 25).select(F.lit(how).alias("how"), F.col("p_partkey").alias("id"))
     return page("12", "asked").unionByName(page(None, "open"))
+
+
+_W = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {_bm25_sql(('of', 'the', 'die', 'der'), False)} SELECT doc_id, score FROM (
+  SELECT s.*, ' ' || array_to_string({_W}, ' ') || ' ' AS line FROM scored s)
+WHERE contains(line, ' of the ') AND NOT contains(line, ' to the ') OR contains(line, ' die ') AND contains(line, ' der ') AND NOT contains(line, ' von ')""")
+def search_web_question(d: Domain) -> DataFrame:
+    """Phrases, alternatives and exclusions in one question, answered from positional postings."""
+    return documents_index(d).ask('"of the" -"to the" OR die der -von')
+
+
+_STEM = """CASE WHEN w LIKE '%ies' AND w NOT LIKE '%eies' AND w NOT LIKE '%aies' THEN w[:-4] || 'y' WHEN w LIKE '%es' AND w NOT LIKE '%aes' AND w NOT LIKE '%ees' AND w NOT LIKE '%oes' THEN w[:-2]
+ WHEN w LIKE '%s' AND w NOT LIKE '%us' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, i, {_STEM} AS term FROM (SELECT doc_id, lang, unnest({_W}) AS w, unnest(range(len({_W}))) AS i FROM documents)
+  WHERE w NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))
+SELECT a.lang, count(DISTINCT a.doc_id) AS n FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.i = a.i + 2 WHERE a.term = 'right' AND b.term = 'license'
+ OR a.term = 'ing' AND b.term = 'ing' GROUP BY 1""")
+def search_english_phrases(d: Domain) -> DataFrame:
+    """Stemmed words with stop words between them: 'rights of license' finds 'right a licenses' as well."""
+    index = TextIndex.of(d.t("documents"), f"{d.dir}/documents.parquet", columns=("lang",), words=Words(english=True))
+    hits = index.ask('"rights the licenses" OR "ing of ing"')
+    return hits.join(index.documents, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

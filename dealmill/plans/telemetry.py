@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealmill.domain import EVENTS_AS_OF, Domain, with_domain
+from dealmill.operators.quantiles import described, same_keys
 from dealmill.operators.topk import first_per_key
 
 QUERIES, SQL = {}, {}
@@ -22,8 +23,9 @@ def query(sql: str | None = None):
     return put
 
 
-def _latency(col: str = "value"):
-    return [F.round(F.percentile(col, q), 4).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+def _latency(rows: DataFrame, key: str) -> DataFrame:
+    """Counts, means and latencies of groups that may hold any number of events."""
+    return described(rows, [key], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, lambda c: F.round(c, 4))
 
 
 _LATENCY = "round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99"
@@ -31,13 +33,17 @@ _LATENCY = "round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(valu
 
 @query(f"SELECT event_type AS route, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, {_LATENCY} FROM events GROUP BY 1")
 def telemetry_by_route(d: Domain) -> DataFrame:
-    return d.t("events").groupBy(F.col("event_type").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"), *_latency())
+    rows = d.t("events").withColumnRenamed("event_type", "route")
+    told = _latency(rows, "route").select("route", F.col("rows").alias("n"), F.round("mean", 4).alias("mean"), "p50", "p95", "p99")
+    return same_keys(told, rows.groupBy("route").agg(F.countDistinct("user_id").alias("users")), ["route"])
 
 
 @query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, {_LATENCY} FROM events GROUP BY 1")
 def telemetry_hourly(d: Domain) -> DataFrame:
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH")
-    return d.t("events").groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), *_latency())
+    rows = d.t("events").withColumn("hour", hour)
+    told = _latency(rows, "hour").select("hour", F.col("rows").alias("n"), "p50", "p95", "p99")
+    return same_keys(told, rows.groupBy("hour").agg(F.count_if(F.col("event_type") == "error").alias("errors")), ["hour"])
 
 
 @query("""SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY ALL""")

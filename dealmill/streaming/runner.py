@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dealmill.catalog import SCHEMAS
+from dealmill.session import delete, scratch
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, shared by driver and executors; on one machine, where it is unset, a folder for temporary files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints", "dealmill")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, which processors with timers and maps need."""

@@ -203,6 +203,63 @@ def test_text_index_is_stored_once(spark, tmp_path):
     assert TextIndex.of(spark.read.parquet(path), path, columns=("source",)).n == 8
 
 
+def test_text_index_is_named_by_all_it_depends_on(spark, tmp_path):
+    from dealmill.operators.text_index import TextIndex, Words
+
+    path = str(tmp_path / "docs")
+    rows = [(k, f"word{k} fish", f"s{k % 3}", f"l{k % 2}", "other text") for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, note string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    by_lang, by_source = TextIndex.of(docs, path, columns=("lang",)), TextIndex.of(docs, path, columns=("source",))
+    assert by_lang.documents.where("lang IS NULL").count() == 0 and by_source.documents.where("source IS NULL").count() == 0
+    part = TextIndex.of(docs.where("doc_id < 5"), path, columns=("lang",))
+    assert part.n == 5 and part.search(("fish",)).count() == 5 and TextIndex.of(docs.where("doc_id < 6"), path, columns=("lang",)).n == 6
+    assert TextIndex.of(docs, path, text="note").search(("other",)).count() == 12
+    assert TextIndex.of(docs, path, words=Words(english=True)).postings.inputFiles() != TextIndex.of(docs, path).postings.inputFiles()
+    assert TextIndex.of(docs, path, columns=("lang",)).postings.inputFiles() == by_lang.postings.inputFiles()
+    docs.limit(1).write.mode("append").parquet(path)
+    again = TextIndex.of(spark.read.parquet(path), path, columns=("lang",))
+    TextIndex.drop_older(spark, path)
+    assert again.n == 13 and again.search(("fish",)).count() == 12
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(by_lang.postings.inputFiles()[0])
+
+
+def test_questions_against_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from dealmill.operators.text_index import STOP_WORDS, TextIndex, Words, alternatives
+
+    assert alternatives('"a b" c -d or -"e f" OR or') == [[(True, "a b"), (True, "c"), (False, "d")], [(False, "e f")]]
+    r = random.Random(3)
+    vocabulary = ["red", "fish", "fishes", "cities", "city", "the", "of", "glass", "bus", "x1"]
+    texts = [None, ""] + [" ".join(r.choices(vocabulary, k=r.randint(1, 12))) for _ in range(150)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+
+    def stem(w):
+        if w.endswith("ies") and not w.endswith(("eies", "aies")):
+            return w[:-3] + "y"
+        if w.endswith("es") and not w.endswith(("aes", "ees", "oes")):
+            return w[:-1]
+        return w[:-1] if w.endswith("s") and not w.endswith(("us", "ss")) else w
+
+    for english in (False, True):
+        cut = lambda t: [(i, stem(w) if english else w) for i, w in enumerate(re.findall(r"\w+", (t or "").lower())) if not english or w not in STOP_WORDS]
+        index = TextIndex.of(spark.read.parquet(path), path, words=Words(english))
+        for question in ("red", '"red fish"', 'red -"red fish"', '"fish of the city" OR glass -bus', '"city city" OR x1 red bus', '-red', "the", '"the" red', "nowhere OR bus", ""):
+            asked = [[(want, cut(part)) for want, part in a] for a in alternatives(question)]
+            asked = [[(want, ws) for want, ws in a if ws] for a in asked]
+
+            def holds(text, ws):
+                own = set(cut(text))
+                return any(all((s - ws[0][0] + i, w) in own for i, w in ws) for s, _ in own)
+
+            want = {i for i, t in enumerate(texts) if any(any(w for w, _ in a) and all(holds(t, ws) == w for w, ws in a) for a in asked)}
+            assert {x.doc_id for x in index.ask(question).collect()} == want, (english, question)
+
+
 def test_snapped_chunks(spark):
     from dealmill.plans.extraction import snapped_chunks
 
