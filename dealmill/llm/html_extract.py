@@ -61,8 +61,8 @@ KINDS = ("text", "flow", "region")
 _REGION = frozenset("article main nav header footer aside form section div body html table ul ol".split())
 FEATURES = [f"tag:{t}" for t in [*TAGS, "other"]] + [f"cue:{c}" for c in CUES] + [
     "bias", "leaf", "leaf:log chars", "leaf:links", "leaf:short", "leaf:ends", "leaf:mark", "leaf:share", "box:log chars", "box:links", "box:share", "box:sentences",
-    "in article", "in article:header", "in article:footer", "in article:aside", "beside article",
-]
+    "in article", "in article:header", "in article:footer", "in article:aside", "beside article", "in article:links", "in article:list", "linked sentence",
+] + [f"under:{k}" for k in ("nav", "foot", "side", "ad", "notice", "comment", "share", "form")]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -74,18 +74,22 @@ _MARKS = re.compile(r"[©®]|all rights reserved|cookie|subscribe|sign up|log in
 
 _ENDS = ".!?…\"”'’"
 _APART = frozenset(("nav", "foot", "side", "ad", "notice", "comment"))
+#: Kinds of regions that what lies in them belongs to, by cue and by element. Names of what holds a whole page, or an article, tell nothing of its parts.
+_UNDER = frozenset((*_APART, "share"))
+_UNDER_TAG = {"nav": "nav", "footer": "foot", "aside": "side", "form": "form"}
+_WHOLE = frozenset("html body main article".split())
 
 
 class Node:
-    __slots__ = ("tag", "cues", "parent", "text", "chars", "linked", "sentences", "truth", "apart", "inside", "holds", "share", "beside")
+    __slots__ = ("tag", "cues", "parent", "text", "chars", "linked", "sentences", "truth", "apart", "inside", "holds", "share", "beside", "under")
 
     def __init__(self, tag: str, parent: Node | None, cues: tuple[str, ...] = (), text: str | None = None, linked: int = 0, truth: bool | None = None):
         self.tag, self.parent, self.cues, self.text, self.linked, self.truth = tag, parent, cues, text, linked, truth
         self.chars, self.sentences = (len(text), int(len(text) > 40 and text[-1] in _ENDS)) if text is not None else (0, 0)
         up_apart, up_inside = (parent.apart, parent.inside) if parent is not None else (False, False)
-        self.apart = up_apart or tag in ("nav", "aside", "footer", "form") or not _APART.isdisjoint(cues)  # in a region of another kind
+        self.apart = up_apart or tag in _UNDER_TAG or (tag not in _WHOLE and not _APART.isdisjoint(cues))  # in a region of another kind
         self.inside = up_inside or (tag in ("article", "main") and not self.apart)
-        self.holds, self.share, self.beside = self.inside and not up_inside, 0.0, False
+        self.holds, self.share, self.beside, self.under = self.inside and not up_inside, 0.0, False, frozenset()
 
 
 def parse(page: str) -> list[Node]:
@@ -212,6 +216,9 @@ def parse(page: str) -> list[Node]:
     for node in nodes:
         node.share = node.chars / max(1, root.chars)
         node.beside = root.holds and not node.inside and not node.holds
+        node.under = node.parent.under if node.parent is not None else node.under
+        if not node.holds and node.tag not in _WHOLE:
+            node.under |= {c for c in node.cues if c in _UNDER and "main" not in node.cues} | ({_UNDER_TAG[node.tag]} if node.tag in _UNDER_TAG else set())
     return nodes
 
 
@@ -234,6 +241,8 @@ def _features(node: Node) -> dict[int, float]:
         if len(t) < 400 and _MARKS.search(t):  # a mark of short texts: in long ones such words say nothing
             out[_AT["leaf:mark"]] = 1.0
         out[_AT["leaf:share"]] = node.share
+        if node.sentences and 2 * node.linked > len(t):
+            out[_AT["linked sentence"]] = 1.0
     else:
         out[_AT.get(f"tag:{node.tag}", _AT["tag:other"])] = 1.0
         for cue in node.cues:
@@ -244,10 +253,15 @@ def _features(node: Node) -> dict[int, float]:
         out[_AT["box:sentences"]] = math.log1p(node.sentences) / 2
         if node.inside and node.tag in ("header", "footer", "aside"):
             out[_AT[f"in article:{node.tag}"]] = 1.0
+        if node.inside and node.tag in ("ul", "ol", "li"):
+            out[_AT["in article:list"]] = 1.0
     if node.inside:
         out[_AT["in article"]] = 1.0
+        out[_AT["in article:links"]] = node.linked / max(1, node.chars)
     if node.beside:
         out[_AT["beside article"]] = 1.0
+    for kind in node.under:
+        out[_AT[f"under:{kind}"]] = 1.0
     return out
 
 
@@ -345,6 +359,8 @@ def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
             text = f"<b>{text}<br>"
         elif r < 0.25:
             text = text.replace(" ", f" {link()} ", 1)
+        elif r < 0.32:  # linked sentences, alone or side by side
+            text = " ".join(f'<a href="/{word()}">{said(1)}</a>' for _ in range(rng.choice([1, 1, 2, 3])))
         return f"<p>{text}" + ("</p>" if rng.random() < 0.85 else "")
 
     def unseen() -> str:
@@ -356,20 +372,37 @@ def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
             text = f"<div{plain() if rng.random() < 0.3 else ''}>{text}</div>"
         return text
 
-    def simple() -> str:
+    def reading() -> str:
+        """A list of an article whose items are links, with what leads to it."""
+        tag = rng.choice(["ul", "ul", "ol"])
+        item = lambda: rng.choice([link(), link(), f'<a href="/{word()}">{said(1)}</a>', f"{words(1, 4)}: {link()}"])
+        lead = rng.choice(["", f"<p>{words(1, 4).capitalize()}</p>", f"<h2>{words(1, 3).capitalize()}</h2>", f"<p>{said(1)}</p>"])
+        return f"{lead}<{tag}>{''.join(f'<li>{item()}</li>' for _ in range(rng.randint(2, 7)))}</{tag}>"
+
+    def simple(closed: bool) -> str:
         """Few, often short paragraphs, or divs without class."""
         title = rng.choice(["", f"<h1>{words(1, 8).capitalize()}</h1>", f"<h2>{words(1, 8).capitalize()}</h2>", f"<header><h1>{words(2, 8).capitalize()}</h1></header>"])
         parts, divs = [], rng.random() < 0.45
         for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6])):
             text = said(rng.choice([1, 1, 2, 3, 6])) if rng.random() < 0.85 else words(3, 12)
+            if rng.random() < 0.08:
+                text = f'<a href="/{word()}">{said(1)}</a>'
             parts.append(nested(text) if divs else f"<p>{text}</p>")
         if rng.random() < 0.3:
             parts.insert(rng.randint(0, len(parts)), unseen())
-        return title + "".join(parts)
+        if closed and rng.random() < 0.2:
+            parts.append(reading())
+        return title + "".join(parts) + (ending() if closed else "")
+
+    def ending() -> str:
+        """What stands at the end of an article and is not of it: its footer, readers' comments."""
+        out = junk("foot in") if rng.random() < 0.25 else ""
+        return out + (junk("comment") if named and rng.random() < 0.3 else "")
 
-    def body() -> str:
+    def body(closed: bool) -> str:
+        """A story; ``closed``: an element of its own tells where it begins and ends."""
         if rng.random() < 0.4:
-            return simple()
+            return simple(closed)
         out = [f"<h1>{words(1, 12).capitalize()}</h1>"] if rng.random() < 0.8 else []
         short = rng.random() < 0.15  # many short paragraphs
         for _ in range(rng.choice([12, 50]) if short else rng.choice([1, 1, 2, 4, 8, 16, 30])):
@@ -391,9 +424,12 @@ def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
                 out.append(f"<figure><img src=x><figcaption>{said(1)}</figcaption></figure>")
             else:
                 out.append(f"<pre>{said(2)}</pre>")
+        if closed and rng.random() < 0.2:
+            out.insert(rng.randint(0, len(out)), reading())
         for _ in range(rng.choice([0, 0, 0, 1, 2])):  # boilerplate inside the article
-            out.insert(rng.randint(0, len(out)), junk(rng.choice(["ad", "side", "share", "notice", "form"])))
-        return "".join(out)
+            if named or not closed:
+                out.insert(rng.randint(0, len(out)), junk(rng.choice(["ad", "side", "share", "notice", "form"])))
+        return "".join(out) + (ending() if closed else "")
 
     def junk(kind: str) -> str:
         t = 'data-truth="0"'
@@ -413,9 +449,19 @@ def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
             tag = rng.choice(["footer", "footer", "div"])
             c = cls("foot") if tag == "div" else ""
             return f"<{tag}{c} {t}>" + rng.choice(["&copy; ", f"&copy; {rng.randint(1990, 2030)} ", "Copyright ", ""]) + rng.choice([f"{word()} {word()}. All rights reserved.", f"{word()}.example &middot; {said(rng.randint(1, 3))}", f"<p>{said(1)}</p>{link()}", f"{link()} | {link()}"]) + f"</{tag}>"
+        if kind == "foot in":
+            return f"<footer {t}>" + rng.choice([said(1), f"{words(2, 4).capitalize()}. {words(1, 3).capitalize()}.", f"<p>{said(1)}</p>", link(), f"{words(1, 2)} {link()} | {link()}", f"<p>{words(2, 5)}</p><ul><li>{link()}</li></ul>"]) + "</footer>"
         if kind == "form":
             return f'<form action="/x" {t}><label>{words(1, 3)}</label><input name=q><button>{word()}</button><p>{said(1)}</p><select><option>{word()}</select></form>'
         if kind == "comment":
+            if rng.random() < 0.4:  # one kind of element for all, closed
+                own = rng.choice(["p", "p", "div", "article"])
+                if rng.random() < 0.4:
+                    own, tag = "li", rng.choice(["ul", "ol"])
+                else:
+                    tag = rng.choice(["div", "section"])
+                lead = rng.choice(["", f"<h3>{words(1, 2)}</h3>"]) if tag not in ("ul", "ol") else ""
+                return f"<{tag}{cls('comment')} {t}>{lead}" + "".join(f"<{own}>{said(rng.randint(1, 3))}</{own}>" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
             inner = "".join(f"<{rng.choice(['li', 'div', 'p', 'article'])}>{said(rng.randint(1, 4))}" for _ in range(rng.randint(1, 5)))
             return f"<{rng.choice(['section', 'div', 'div'])}{cls('comment')} {t}><h3>{words(1, 2)}</h3>{inner}</article></li></div></section>"
         tag = rng.choice({"ad": ["div", "div", "aside", "p", "section"], "side": ["aside", "aside", "div"], "share": ["div", "ul"], "notice": ["div", "section", "p", "dialog"]}[kind])
@@ -427,7 +473,7 @@ def labelled_pages(count: int = 400, seed: int = 23) -> list[str]:
     for _ in range(count):
         named = rng.random() < 0.6
         wrap = rng.choice(["article", "article", "article", "main", "div", "section", "mainarticle", "plain", "body", "cell"])
-        inner = body()
+        inner = body(wrap in ("article", "main", "mainarticle"))
         story = {
             "mainarticle": f'<main data-truth="1"><article data-truth="1">{inner}</article></main>',
             "div": f'<div{cls("main")} data-truth="1">{inner}</div>',

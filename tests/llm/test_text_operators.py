@@ -337,6 +337,25 @@ SIMPLE = {
 }
 
 
+A, B = f'<a href="/a">{SAID[1]}</a>', f'<a href="/b">{SAID[0]}</a>'
+#: What belongs to an article though it is linked, and what does not though it stands in it.
+SIMPLE |= {
+    "comments in the article": (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><div class="comments"><p>I think this is a great idea for all of us.</p></div></article>', ["Bridge", SAID[0]]),
+    "three comments in the article": (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><p>{SAID[1]}</p><div class="comments"><p>I think this is great.</p><p>No, it is far too expensive for us.</p><p>Why not a ferry?</p></div></article>', ["Bridge", *SAID[:2]]),
+    "list of comments in the article": (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><ul id="comments"><li>I think this is a great idea.</li><li>No, it is too expensive.</li></ul></article>', ["Bridge", SAID[0]]),
+    "section of comments in the article": (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><section class="comments"><h3>Comments</h3><p>I think this is a great idea.</p></section></article><footer>&copy; x</footer>', ["Bridge", SAID[0]]),
+    "footer in the article": (f"<article><h1>Bridge</h1><p>{SAID[0]}</p><p>{SAID[1]}</p><footer>Posted by Ann Smith. Share this.</footer></article>", ["Bridge", *SAID[:2]]),
+    "footer in the article of a page": (f"<nav><a href=/>Home</a></nav><article><h1>Bridge</h1><p>{SAID[0]}</p><footer><p>Posted by Ann Smith.</p></footer></article><footer>&copy; 2020 x</footer>", ["Bridge", SAID[0]]),
+    "one linked sentence": (f"<article><h1>Note</h1><p>{A}</p></article>", ["Note", SAID[1]]),
+    "paragraph of two links": (f"<article><h1>Note</h1><p>{A} {B}</p></article>", ["Note", f"{SAID[1]} {SAID[0]}"]),
+    "links and a list of links": (f"<article><h1>Note</h1><p>{A} {B}</p><ul><li>{A}</li><li>{B}</li></ul></article>", ["Note", f"{SAID[1]} {SAID[0]}", SAID[1], SAID[0]]),
+    "reading list": (f"<nav><a href=/>Home</a></nav><article><h1>Books on bridges</h1><p>{SAID[0]}</p><ul><li><a href=/1>The great bridges</a></li><li><a href=/2>On arches</a></li><li><a href=/3>Rivers</a></li></ul></article>", ["Books on bridges", SAID[0], "The great bridges", "On arches", "Rivers"]),
+    "a lead and its list": (f"<article><h1>Bridge</h1><p>{SAID[0]}</p><p>Read more</p><ul><li><a href=/1>The great bridges</a></li><li><a href=/2>On arches</a></li></ul></article>", ["Bridge", SAID[0], "Read more", "The great bridges", "On arches"]),
+    "related box in the article": (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><div class="related"><p>Read more</p><ul><li><a href=/1>The great bridges</a></li><li><a href=/2>On arches</a></li></ul></div></article>', ["Bridge", SAID[0]]),
+    "cues of the whole page": (f'<body class="has-sidebar cookie-ok"><article><h1>Bridge</h1><p>{SAID[0]}</p></article></body>', ["Bridge", SAID[0]]),
+}
+
+
 @pytest.mark.parametrize("name", SIMPLE)
 def test_html_simple_pages(name):
     page, want = SIMPLE[name]
@@ -365,6 +384,37 @@ def test_html_text_of_unlike_pages():
     assert sum(html_extract.extract(page, html_extract.default_model()) == want for page, want in pages) >= 0.95 * len(pages)
 
 
+def _rich_pages(count, seed):
+    """Articles with linked sentences and lists, footers and comments of their own, in real words, with their main text."""
+    rng = random.Random(seed)
+    lexicon = "river bridge council engine market paper winter garden number morning window doctor season letter summer village silver copper report teacher".split()
+    sentence = lambda: " ".join(rng.choices(lexicon, k=rng.randint(5, 14))).capitalize() + "."
+    label = lambda: " ".join(rng.choices(lexicon, k=rng.randint(1, 3))).capitalize()
+    for _ in range(count):
+        parts, said = [], []
+        for _ in range(rng.randint(1, 5)):
+            kind = rng.choice(["p", "p", "p", "linked", "list", "points"])
+            if kind in ("p", "linked"):
+                said.append(sentence())
+                parts.append(f"<p>{said[-1]}</p>" if kind == "p" else f'<p><a href="/x">{said[-1]}</a></p>')
+            else:
+                items = [label() if kind == "list" else sentence() for _ in range(rng.randint(2, 5))]
+                said += items
+                parts.append("<ul>" + "".join(f'<li><a href="/y">{x}</a></li>' if kind == "list" else f"<li>{x}</li>" for x in items) + "</ul>")
+        title, first = label(), sentence()
+        footer = rng.choice(["", f"<footer>Posted by {label()}. Share this.</footer>", f"<footer><p>{sentence()}</p></footer>"])
+        box, item = rng.choice([("div", "p"), ("section", "p"), ("ul", "li"), ("ol", "li"), ("div", "div")])
+        comments = rng.choice(["", f'<{box} {rng.choice(["class", "id"])}="{rng.choice(["comments", "replies", "discussion"])}">' + "".join(f"<{item}>{sentence()}</{item}>" for _ in range(rng.randint(1, 4))) + f"</{box}>"])
+        wrap = rng.choice(["article", "main"])
+        nav = rng.choice(["", f'<nav><ul><li><a href="/">{label()}</a></li><li><a href="/n">{label()}</a></li></ul></nav>'])
+        yield f"<html><body>{nav}<{wrap}><h1>{title}</h1><p>{first}</p>{''.join(parts)}{footer}{comments}</{wrap}><footer>&copy; 2024 {label()}</footer></body></html>", "\n".join([title, first, *said])
+
+
+def test_html_articles_with_links_footers_and_comments():
+    pages = list(_rich_pages(300, 4))
+    assert sum(html_extract.extract(page, html_extract.default_model()) == want for page, want in pages) >= 0.95 * len(pages)
+
+
 def test_html_query_returns_the_articles_of_the_table(spark):
     """Pages of the table hold one article each: its runs of text, whole, and nothing else."""
     html = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
