@@ -1,59 +1,47 @@
-"""HTML to plain text with the standard library's parser."""
+"""HTML and tagged contracts to plain text, in built-in functions; only character references are decoded by Python."""
 
 from __future__ import annotations
 
 import html
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_LEFT_OUT = {"script", "style", "head", "nav", "footer", "noscript"}
+#: Elements whose content is no text of a page; those of the second list go on to the end where they are not closed.
+LEFT_OUT, TO_THE_END = ("script", "style", "head", "nav", "footer", "noscript"), ("nav", "footer")
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.depth = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in _LEFT_OUT
-        self.out.append(" ")
-
-    def handle_endtag(self, tag):
-        self.depth -= tag in _LEFT_OUT and self.depth > 0
-        self.out.append(" ")
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Character references decoded; a no-break space is a space."""
+    return texts.map(lambda t: html.unescape(t).replace("\xa0", " "), na_action="ignore")
 
 
-def html_text(page: str | None) -> str:
-    """The visible text, white space collapsed."""
-    parser = _Text()
-    parser.feed(page or "")
-    parser.close()
-    return re.sub(r"\s+", " ", "".join(parser.out)).strip()
+def decoded(text: Column) -> Column:
+    """Texts without a reference or no-break space never leave the JVM."""
+    return F.when(text.contains("&") | text.contains("\u00a0"), _decoded(text)).otherwise(text)
 
 
 def plain_text(pages: DataFrame, key: str, page: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([html_text(h) for h in b.column(1).to_pylist()], pa.string())], [key, "content"])
-
-    return pages.select(key, page).mapInArrow(run, f"{key} long, content string")
+    """key and content: the visible text of each page, white space collapsed; null gives ""."""
+    t = F.regexp_replace(F.coalesce(F.col(page), F.lit("")), r"(?s)<!--.*?(?:-->|$)", " ")
+    for tag in LEFT_OUT:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+    t = F.regexp_replace(t, rf"(?is)<(?:{'|'.join(TO_THE_END)})\b.*$", " ")
+    rows = pages.select(key, F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", " ").alias("content"))
+    return rows.select(key, F.trim(F.regexp_replace(decoded(F.col("content")), r"\s+", " ")).alias("content"))
 
 
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    """Character references decoded; a no-break space is a space."""
-    return texts.map(lambda t: html.unescape(t).replace("\xa0", " "), na_action="ignore")
+def headed(line: Column) -> Column:
+    """A numbered title as a heading: "7. TERMS" where it is all upper-case, "7.1 Terms" as a lesser one; else the line."""
+    number, title = F.substring_index(line, " ", 1), F.ltrim(F.substr(line, F.char_length(F.substring_index(line, " ", 1)) + 1))
+    shouted = (title == F.upper(title)) & (F.lower(title) != title) & ~title.rlike(r"[0-9.:]")
+    return (
+        F.when(number.rlike(r"^\d+\.$") & shouted, F.concat_ws(" ", F.lit("##"), number, title))
+        .when(number.rlike(r"^\d+(?:\.\d+)+$") & (title != ""), F.concat_ws(" ", F.lit("###"), number, title)).otherwise(line)
+    )
 
 
 def clean_contracts(contracts: DataFrame, text: str, name: str) -> DataFrame:
@@ -62,10 +50,9 @@ def clean_contracts(contracts: DataFrame, text: str, name: str) -> DataFrame:
     Line and paragraph tags break lines, other tags and page marks (- 41 -) go, lines are trimmed, and more than one
     empty line in a row is one. An upper-case title behind "7." is a heading, one behind "7.1" a lesser one.
     """
-    t = F.when(F.col(text).contains("&") | F.col(text).contains("\u00a0"), _decoded(F.col(text))).otherwise(F.col(text))
-    for pattern, by in (
-        (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?para>", "\n\n"), (r"<[^>]+>", ""), (r"-\s*\d+\s*-", ""), (r"(?m)^[^\S\n]+|[^\S\n]+$", ""),
-        (r"""(?m)^(\d+)\.[^\S\n]+([A-Z][A-Z \t,;&'"()\-/]+)$""", "## $1. $2"), (r"(?m)^(\d+(?:\.\d+)+)[^\S\n]+(.+)$", "### $1 $2"), (r"\n{3,}", "\n\n"),
-    ):
+    t = decoded(F.coalesce(F.col(text), F.lit("")))
+    for pattern, by in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</?para>", "\n\n"), (r"<[^>]+>", ""), (r"-\s*\d+\s*-", "")):
         t = F.regexp_replace(t, pattern, by)
-    return contracts.withColumn(name, F.coalesce(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit("")))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", ""))
+    whole = F.array_join(F.transform(lines, headed), "\n")
+    return contracts.withColumn(name, F.regexp_replace(F.regexp_replace(whole, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))

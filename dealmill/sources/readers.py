@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 INDEX_SCHEMA = "cik string, company string, form string, filed string, path string"
 
@@ -80,38 +79,6 @@ def append_archive(responses: DataFrame, archive: str) -> None:
     rows.write.mode("append").parquet(archive)
 
 
-class XmlRecords(DataSource):
-    """``spark.read.format("xml_records").option("paths", "a.xml,b.xml").option("tag", "Deal")``: tag, record (JSON)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xml_records"
-
-    def schema(self) -> str:
-        return "path string, position int, record string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _XmlReader(self.options)
-
-
-class _XmlReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.tag = options["paths"].split(","), options["tag"]
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition) -> Iterator[tuple]:
-        import json
-
-        position = 0
-        for _, element in ET.iterparse(partition.value, events=("end",)):
-            if element.tag.rpartition("}")[2] == self.tag:
-                yield partition.value, position, json.dumps(element_dict(element), sort_keys=True)
-                position += 1
-                element.clear()
-
-
 _CITED = re.compile(r"\bNCT\d{8}\b")
 
 

@@ -14,48 +14,70 @@ from dealmill.operators.filters import Dates, Money
 from dealmill.operators.paths import distances, shortest_paths
 from dealmill.operators.topk import Cursor, after, ordered
 from dealmill.sources import readers, sinks
-from dealmill.sources.html import html_text
 
 
-def test_amounts_and_rates():
-    assert finance.amount("an upfront fee of $25 million") == (25.0, "USD")
-    assert finance.amount("EUR 1.5 billion") == (1500.0, "EUR")
-    assert finance.amount("GBP 2,500,000") == (2.5, "GBP")
-    assert finance.amount("in 2019 with 12 people") is None
-    assert finance.royalty_rates("royalties of 5% to 12% of net sales") == [5.0, 12.0]
-    assert finance.describe("terms were not disclosed")["undisclosed"]
+def told(spark, texts, *columns):
+    """One tuple a text, in order."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return [tuple(r) for r in finance.finance_details(df, "id", "text").orderBy("id").select(*columns).collect()]
 
 
-def test_prose_details():
-    told = finance.describe("Upfront payment of $50 million, €1.2 billion in clinical milestones, regulatory milestones of up to $30M, tiered royalties of 5% to 12%, total value of approximately $2 billion.")
-    assert told == {"upfront": (50.0, "USD"), "development": (1200.0, "EUR"), "regulatory": (30.0, "USD"), "commercial": None, "total": (2000.0, "USD"), "royalties": (5.0, 12.0), "undisclosed": False}
-    assert finance.describe("$20 million in milestones")["development"] == (20.0, "USD")
-    assert finance.describe("$20 million in development and commercial milestones")["development"] == (20.0, "USD")
-    assert finance.describe("an 8% royalty")["royalties"] == (8.0, 8.0) and finance.describe("8% of staff")["royalties"] is None
-    assert finance.describe("No financial terms disclosed; $5 million upfront")["upfront"] is None and finance.describe(None)["total"] is None
+def test_amounts_and_rates(spark):
+    sums = ["$25 million", "EUR 1.5 billion", "GBP 2,500,000", "€1.2bn", "$30M", "12 million", "¥5k"]
+    row = spark.range(1).select(*[F.struct(finance.millions(F.lit(x)), finance.currency(F.lit(x))) for x in sums]).first()
+    assert [tuple(x) for x in row] == [(25.0, "USD"), (1500.0, "EUR"), (2.5, "GBP"), (1200.0, "EUR"), (30.0, "USD"), (12.0, "USD"), (0.005, "JPY")]
+    texts = ["royalties of 5% to 12% of net sales", "an 8% royalty", "8% of staff", "3 % on net sales, 9%", "4% – 6%, later 7% to 9%", "between 3% and more, 12% - 15% later", None, ""]
+    assert told(spark, texts, "rate_low", "rate_high") == [(5.0, 12.0), (8.0, 8.0), (None, None), (3.0, 3.0), (4.0, 6.0), (12.0, 15.0), (None, None), (None, None)]
 
 
-def test_payload_terms():
-    """Rows of the literal payloads: nested breakdowns, accuracy marks, money labelled as a percentage, thousands and trillions."""
-    import json
+def test_prose_details(spark):
+    whole = "Upfront payment of $50 million, €1.2 billion in clinical milestones, regulatory milestones of up to $30M, tiered royalties of 5% to 12%, total value of approximately $2 billion."
+    columns = [c for k in finance.AMOUNTS for c in (k, f"{k}_currency")] + ["rate_low", "rate_high", "undisclosed"]
+    assert told(spark, [whole], *columns) == [(50.0, "USD", 1200.0, "EUR", 30.0, "USD", None, None, 2000.0, "USD", 5.0, 12.0, False)]
+    texts = [
+        "$20 million in milestones", "$20 million in development and commercial milestones", "$5 million upfront and $9 million in sales milestones", "an up-front fee of $5 million and regulatory milestones of $9 million",
+        "for the clinical development of a drug it paid $5 million", "in 2019 with 12 people", "an initial payment of $1,300,000",
+    ]
+    none = (None, None, None, None)
+    assert told(spark, texts, "upfront", "development", "regulatory", "commercial") == [(None, 20.0, None, None), (None, 20.0, None, None), (5.0, None, None, 9.0), (5.0, None, 9.0, None), none, none, (1.3, None, None, None)]
+    untold = ["No financial terms disclosed; $5 million upfront", "terms were not disclosed", "Undisclosed financial terms, $3M upfront"]
+    assert told(spark, untold, "upfront", "undisclosed") == [(None, True)] * 3
+
 
+def test_payload_terms(spark):
+    """Rows of the literal payloads: nested breakdowns, accuracy marks, money labelled as a percentage, thousands and trillions."""
     from dealmill.plans.ingest import PAYLOADS
 
-    for payload, want in PAYLOADS:
-        rows = finance.payload_terms(json.loads(payload))
-        assert [(r["term"], r["amount"], r["amount_usd"], r["rate_low"], r["rate_high"], r["confidence"], r["breakdown"]) for r in rows] == list(want)
-    first = finance.payload_terms(json.loads(PAYLOADS[0][0]))
-    assert [r["path"] for r in first] == ["PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0]", "PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0].PaymentBreakdown.Payment[0]"]
-    assert finance.payload_terms(None) == finance.payload_terms({"PaymentsToPrincipal": {"PaymentsPaid": None}}) == []
-    assert [finance.term_type(t) for t in ("Dev/Reg Milestones", "Royalty", "Equity Purchase!", None)] == ["development_regulatory_milestone", "royalty_payment", "equity_purchase", "unspecified"]
+    deep = '{"PaymentsToPartner":{"PaymentsPaid":{"PaymentsGeneral":{"Payment":{"Type":"Dev/Reg Milestones","PaymentBreakdown":{"Payment":{"Type":"Equity Purchase!","PaymentBreakdown":{"Payment":[{"Type":"Royalty"}, 7, {}]}}}}}}}}'
+    odd = [None, "", "no json", "[]", '{"PaymentsToPrincipal": {"PaymentsPaid": null}}', '{"PaymentsToPrincipal": {"PaymentsPaid": {"PaymentsGeneral": {"Payment": "text"}}}}']
+    df = spark.createDataFrame(list(enumerate([*[p for p, _ in PAYLOADS], deep, *odd])), "id long, payload string")
+    rows = [r.asDict() for r in finance.explode_terms(df, "id", "payload").orderBy("id", "path").collect()]
+    got = lambda k: [(r["term"], r["amount"], r["amount_usd"], r["rate_low"], r["rate_high"], r["confidence"], r["breakdown"]) for r in rows if r["id"] == k]
+    for k, (_, want) in enumerate(PAYLOADS):
+        assert got(k) == list(want)
+    assert [r["path"] for r in rows if r["id"] == 0] == ["PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0]", "PaymentsToPrincipal.PaymentsPaid.PaymentsGeneral.Payment[0].PaymentBreakdown.Payment[0]"]
+    assert [r["term"] for r in rows if r["id"] == 3] == ["development_regulatory_milestone", "equity_purchase", "royalty_payment", "unspecified"] and max(r["id"] for r in rows) == 3
 
 
-def test_clauses():
+def test_clauses(spark):
     contract = "<para>The upfront payment is $20 million.</para><para>Royalties are 4% to 8% of net sales, tiered.</para><para>Interest of 9% applies.</para>"
-    found = {c["kind"]: c for c in finance.clauses(contract)}
-    assert found["upfront"]["amount"] == 20.0
-    assert (found["royalty"]["rate_low"], found["royalty"]["rate_high"], found["royalty"]["tiered"]) == (4.0, 8.0, True)
-    assert finance.clauses("A royalty is due, the rate is redacted.") == []
+    far = "The upfront fee is due.\n\nArticle 2 Payments\n\nIt is EUR 3 million."
+    paid = "A milestone of $7 million is due. It is to reimburse costs of $99 million.\n\nMore of it: 5 million."
+    df = spark.createDataFrame(list(enumerate([contract, "A royalty is due, the rate is redacted.", far, paid, None, ""])), "id long, text string")
+    rows = finance.explode_clauses(df, "id", "text").collect()
+    found = {(r.id, r.kind): r for r in rows}
+    assert len(rows) == 3 and set(found) == {(0, "upfront"), (0, "royalty"), (3, "milestone")}
+    assert found[0, "upfront"].amount == 20.0 and found[3, "milestone"].amount == 7.0 and found[3, "milestone"].currency == "USD"
+    assert (found[0, "royalty"].rate_low, found[0, "royalty"].rate_high, found[0, "royalty"].tiered) == (4.0, 8.0, True)
+
+
+def test_contract_titles(spark):
+    from dealmill.sources.html import clean_contracts, plain_text
+
+    raw = '7. GRANT OF RIGHTS, "OTHER"<br>7.1  Grant of&nbsp;Rights<br/>8. Not Shouted<br>9. 2020<para>A &lt;b</para>- 12 -<br><br><br><br>end'
+    df = spark.createDataFrame([(1, raw), (2, None), (3, "<p>a<script>x</script></p><p>b &amp; c</p><footer>left out")], "id long, t string")
+    assert {r.id: r.c for r in clean_contracts(df.where("id < 3"), "t", "c").collect()} == {1: '## 7. GRANT OF RIGHTS, "OTHER"\n### 7.1 Grant of Rights\n8. Not Shouted\n9. 2020\n\nA <b\n\nend', 2: ""}
+    assert {r.id: r.content for r in plain_text(df.where("id > 1"), "id", "t").collect()} == {2: "", 3: "a b & c"}
 
 
 def test_text_expressions(spark):
@@ -156,9 +178,8 @@ def test_readers(spark, tmp_path):
         readers.append_archive(raw, str(tmp_path / "archive"))
     assert spark.read.parquet(str(tmp_path / "archive")).count() == 2
     (tmp_path / "r.xml").write_text("<all><Deal id='1'><T>x</T></Deal><Deal id='2'/></all>")
-    spark.dataSource.register(readers.XmlRecords)
-    got = spark.read.format("xml_records").option("paths", str(tmp_path / "r.xml")).option("tag", "Deal").load()
-    assert [r.position for r in got.orderBy("position").collect()] == [0, 1]
+    got = readers.read_xml(spark, str(tmp_path / "r.xml"), "Deal", "_id string, T string")
+    assert sorted((r._id, r.T) for r in got.collect()) == [("1", "x"), ("2", None)]
 
 
 def test_sinks(spark, tmp_path):
@@ -168,7 +189,6 @@ def test_sinks(spark, tmp_path):
     event = sinks.calendar_events(df, "id", "day", "name", "name").first().event
     assert "DTEND;VALUE=DATE:20240229" in event and r"SUMMARY:a\, b\; c" in event
     assert sinks.calendar_text([event], "t").endswith("END:VCALENDAR\r\n")
-    assert html_text("<p>a<script>x</script></p><p>b &amp; c</p>") == "a b & c"
 
 
 @given(st.text(max_size=300).filter(lambda t: not {"\r", "\n"} & set(t)))
