@@ -119,18 +119,35 @@ def exact_matches(index: DataFrame, tests: TestWindows, lists: int = 3) -> DataF
     )
 
 
-def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5) -> DataFrame:
+def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5, lists: int = 3) -> DataFrame:
     """rid, win, at: places of a window's rarest term with all its terms within len + slop words, any order.
 
-    The span runs from the first to the last word of the match and holds the rarest term's posting.
+    The span runs from the first to the last word of the match and holds the rarest term's posting. Positions are
+    dealt to stretches as long as the widest span, and a place is held against its own stretch and the two beside it
+    only, so a word that a document repeats costs each place a bounded number of postings. Places without a next
+    rarer term near them are left out before the other terms are read.
     """
-    anchors = _rarest(index, tests, 1).select("win", "len", F.col("term_id").alias("rare"))
+    ranked = materialize(_rarest(index, tests, lists), "near-anchors")
+    rare = ranked.where(F.col("rank") == 1).select("win", "len", "term_id")
     postings = index.where(F.col("term_id") != 0).select("rid", "term_id", "pos")
-    at = _at_terms(postings, anchors.withColumnRenamed("rare", "term_id")).select("rid", "win", "len", F.col("pos").alias("at"))
+    at = _at_terms(postings, rare).select("rid", "win", "len", F.col("pos").alias("at"))
+    widest = (tests.windows.agg(F.coalesce(F.max("len"), F.lit(1))).first()[0] or 1) + slop
+    stretch = lambda pos: F.floor(pos / widest).cast("int")
+    placed = postings.withColumn("part", stretch(F.col("pos")))
+
+    def near(at: DataFrame, terms: DataFrame) -> DataFrame:
+        """Postings (pos) of ``terms`` (win, term_id) in reach of each place."""
+        own = stretch(F.col("at"))
+        asked = at.join(terms, "win").withColumn("part", F.explode(F.array(own - 1, own, own + 1)))
+        return asked.join(placed, ["rid", "term_id", "part"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("len") + slop)
+
+    for rank in range(2, lists + 1):
+        next_rare = ranked.where(F.col("rank") == rank).select("win", "term_id")
+        alone = at.join(next_rare.select("win"), "win", "left_anti")  # windows with fewer different terms
+        at = materialize(near(at, next_rare).select("rid", "win", "len", "at").distinct().unionByName(alone), "near-places")
     terms = tests.windows.select("win", F.explode(F.array_distinct("ids")).alias("term_id"), F.size(F.array_distinct("ids")).alias("n_terms"))
-    near = at.join(terms, "win").join(postings, ["rid", "term_id"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("len") + slop)
     # each place in reach opens a span of len + slop words; one that holds the anchor and all terms is a match
-    spans = near.groupBy("rid", "win", "at", "len", "n_terms").agg(F.collect_set(F.struct("pos", "term_id")).alias("p"))
+    spans = near(at, terms).groupBy("rid", "win", "at", "len", "n_terms").agg(F.collect_set(F.struct("pos", "term_id")).alias("p"))
     width = F.col("len") + slop
     fits = F.exists(
         "p",
@@ -190,13 +207,14 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate(docs, items, slop=None).select(
+    return decontaminate(docs, items).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
     )
 
 
@@ -223,8 +241,24 @@ WITH d AS (
 ), hit_items AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid
+), wins AS (SELECT DISTINCT phrase, len FROM win
+), win_terms AS (
+  SELECT phrase, len, term, min(off) AS off FROM (SELECT phrase, len, unnest(string_split(phrase, ' ')) AS term, unnest(range(1, len + 1)) AS off FROM wins) GROUP BY ALL
+), occ AS (
+  SELECT rid, pos, term FROM (SELECT rid, unnest(words) AS term, unnest(range(1, len(words) + 1)) AS pos FROM d) WHERE term IN (SELECT term FROM win_terms)
+), rare AS (
+  SELECT phrase, len, t.term, count(*) OVER (PARTITION BY phrase) AS n_terms FROM win_terms t LEFT JOIN (SELECT term, count(*) AS n FROM occ GROUP BY 1) c ON c.term = t.term
+  QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY coalesce(n, 0), off) = 1
+), around AS (
+  SELECT r.phrase, r.len, r.n_terms, a.rid, a.pos AS anchor, o.pos, o.term FROM rare r JOIN occ a ON a.term = r.term JOIN occ o ON o.rid = a.rid AND abs(o.pos - a.pos) < r.len + 5
+  WHERE EXISTS (SELECT 1 FROM win_terms t WHERE t.phrase = r.phrase AND t.term = o.term)
+), near AS (
+  SELECT rid, count(*) AS n_near FROM (
+    SELECT DISTINCT phrase, rid, anchor FROM (
+      SELECT f.phrase, f.rid, f.anchor FROM around f JOIN around q ON q.phrase = f.phrase AND q.rid = f.rid AND q.anchor = f.anchor AND q.pos >= f.pos AND q.pos < f.pos + f.len + 5
+      WHERE f.pos <= f.anchor AND f.pos + f.len + 5 > f.anchor GROUP BY f.phrase, f.rid, f.anchor, f.pos HAVING count(DISTINCT q.term) = any_value(f.n_terms))) GROUP BY rid
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid) LEFT JOIN near USING (rid)
 """

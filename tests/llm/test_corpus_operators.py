@@ -344,6 +344,40 @@ def test_proximity_matches(spark):
     assert {ids[r.rid] for r in decontam.proximity_matches(index, tests).collect()} == {1}
 
 
+def brute_proximity(docs, items, slop=5):
+    """(doc_id, window, place): each place of the window's rarest word from which a span holds all its words."""
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    windows = {tuple(ws[i : i + 10]) for _, t in items for ws in [cut(t)] if ws for i in range(max(len(ws) - 9, 1))}
+    texts = {i: cut(t) for i, t in docs}
+    count = {w: sum(ws.count(w) for ws in texts.values()) for win in windows for w in win}
+    out = set()
+    for win in windows:
+        rare, width = min(dict.fromkeys(win), key=lambda w: (count[w], win.index(w))), len(win) + slop
+        for i, ws in texts.items():
+            for at in (k for k, w in enumerate(ws) if w == rare):
+                if any(set(win) <= set(ws[s : s + width]) and ws[s] in win for s in range(max(0, at - width + 1), at + 1)):
+                    out.add((i, win, at))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(9)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([1, 2, 4, 12])))) for k in range(12)]
+    docs = [(k, " ".join(r.choices([*vocabulary, "x", "y", "z"], k=r.randint(0, 90)))) for k in range(25)] + [(900, None)]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_proximity(docs, items)
+    assert {x.doc_id: x.n_near for x in got} == {i: sum(d == i for d, _, _ in want) for i, _ in docs} and len(want) > 100
+
+
+def test_proximity_of_a_word_repeated_ten_thousand_times(spark):
+    items = [(1, "alpha beta gamma"), (2, "alpha alpha"), (3, "alpha delta")]
+    docs = [(1, "alpha " * 10_000 + "x beta gamma"), (2, "delta " + "alpha " * 10_000), (3, "alpha " * 10_000 + "y " * 40 + "beta gamma")]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_proximity(docs, items)
+    assert {x.doc_id: x.n_near for x in got} == {i: sum(d == i for d, _, _ in want) for i, _ in docs}
+
+
 def test_decontamination_returns_proximity_matches(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (None, "beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "gamma x beta y alpha"), (2, "alpha" + " x" * 30 + " beta"), (3, "alpha beta gamma delta"), (4, None)], "doc_id long, text string")
