@@ -96,4 +96,6 @@ as_of AS (SELECT TIMESTAMP '{AS_OF}' AS today)
 def with_domain(sql: str) -> str:
     """The oracle text with the domain's common table expressions in front."""
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {CTES}, {body[15:]}"
     return f"WITH {CTES}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {CTES} {body}"

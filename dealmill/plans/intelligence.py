@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
+from dealmill.operators.mentions import linked, mentions
 from dealmill.operators.merges import carried, merged
 from dealmill.operators.scopes import ancestry, dossiers, evidence_sets, scopes
 from dealmill.session import scratch
@@ -162,3 +163,59 @@ def replace_children(d: Domain) -> DataFrame:
     store.purge(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
     store.drop_older()
     return store.read().drop("l_shipdate")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT item_id AS entity, {_WORDS} AS w FROM benchmark
+), named AS (
+  SELECT entity, array_to_string(w[1:4], ' ') AS alias, least(len(w), 4) AS len, true AS canonical FROM b WHERE len(w) > 0
+  UNION SELECT entity, array_to_string(w[5:6], ' '), least(len(w) - 4, 2), false FROM b WHERE len(w) > 4
+), told AS (
+  SELECT alias, any_value(len) AS len, count(*) AS n, count(*) FILTER (WHERE own) AS n_own, min(entity) AS other, min(entity) FILTER (WHERE own) AS own
+  FROM (SELECT alias, len, entity, bool_or(canonical) AS own FROM named GROUP BY ALL) GROUP BY alias
+), d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents
+), p AS (SELECT doc_id, rid, w, unnest(range(len(w))) AS pos FROM d
+), hit AS (SELECT doc_id, rid, pos, t.len, t.alias FROM (SELECT *, unnest(range(1, 5)) AS n FROM p) q JOIN told t ON t.len = q.n AND t.alias = array_to_string(w[pos + 1:pos + q.n], ' ') WHERE pos + q.n <= len(w)
+), longest AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY rid, pos ORDER BY len DESC) = 1
+), walk AS (
+  SELECT rid, 0::BIGINT AS fin, NULL::BIGINT AS pos, NULL::VARCHAR AS alias, NULL::BIGINT AS doc_id FROM (SELECT DISTINCT rid FROM longest)
+  UNION ALL SELECT m.rid, (m.pos + m.len)::BIGINT, m.pos, m.alias, m.doc_id FROM walk w JOIN longest m ON m.rid = w.rid AND m.pos >= w.fin
+  WHERE NOT EXISTS (SELECT 1 FROM longest x WHERE x.rid = w.rid AND x.pos >= w.fin AND x.pos < m.pos)
+)
+SELECT doc_id, pos AS at_word, alias, CASE WHEN n_own = 1 THEN 'exact' WHEN n = 1 THEN 'plausible' ELSE 'ambiguous' END AS status, CASE WHEN n_own = 1 THEN own WHEN n = 1 THEN other END AS entity,
+ CASE WHEN n_own = 1 OR n = 1 THEN 1 ELSE n END AS entities FROM walk JOIN told USING (alias) WHERE pos IS NOT NULL""")
+def entity_mentions(d: Domain) -> DataFrame:
+    """Subjects named in documents: each has the first four words of its text as its name, the next two as another."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = d.spark.read.parquet(f"{d.dir}/benchmark.parquet").select("item_id", words.alias("w"))
+    part = lambda start, size, own: rows.select(F.col("item_id").alias("entity"), F.array_join(F.slice("w", start, size), " ").alias("alias"), F.lit(own).alias("canonical"))
+    return mentions(d.t("documents"), part(1, 4, True).unionByName(part(5, 2, False)), "doc_id", "text").withColumnRenamed("at", "at_word")
+
+
+@query("""WITH names AS (
+  SELECT DISTINCT l_orderkey AS subject, 'asset' AS role, upper(p_name) || ' ' || p_size AS name FROM lineitem JOIN part ON p_partkey = l_partkey
+  UNION SELECT o_orderkey, 'sponsor', replace(c_name, '#', ' No. ') FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION SELECT deal_id, 'area', lower(area) || '.' FROM deal_areas
+), aliases AS (
+  SELECT 'asset' AS role, p_partkey AS entity, p_name || '-' || p_size AS alias, CASE WHEN p_partkey % 3 = 0 THEN 0.6 ELSE 0.9 END AS confidence FROM part
+  UNION ALL SELECT 'sponsor', c_custkey, 'Customer no ' || right(c_name, 9), 0.8 FROM customer UNION ALL SELECT 'area', r_regionkey, r_name, 1.0 FROM region
+), keyed AS (
+  SELECT role, entity, regexp_replace(lower(alias), '[^a-z0-9]+', '', 'g') AS k, arg_min(alias, alias) AS alias, max(confidence)::DOUBLE AS confidence FROM aliases
+  WHERE confidence >= CASE role WHEN 'asset' THEN 0.7 ELSE 0.8 END GROUP BY ALL
+)
+SELECT subject, n.role, name, entity, alias, confidence FROM names n
+JOIN (SELECT *, count(*) OVER (PARTITION BY role, k) AS n_entities FROM keyed) a ON a.role = n.role AND a.k = regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')
+WHERE n.role <> 'asset' OR n_entities = 1""")
+def trial_links(d: Domain) -> DataFrame:
+    """Assets (clear ones only), sponsors and areas that deals name, linked to entities in three steps."""
+    part, c = d.t("part"), d.companies()
+    name = F.concat(F.upper("p_name"), F.lit(" "), "p_size")
+    assets = d.t("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("subject"), F.lit("asset").alias("role"), name.alias("name"))
+    own = part.select(F.col("p_partkey").alias("entity"), F.concat_ws("-", "p_name", "p_size").alias("alias"), F.when(F.col("p_partkey") % 3 == 0, 0.6).otherwise(0.9).alias("confidence"))
+    sponsors = d.deals().join(c, F.col("principal_id") == F.col("company_id")).select(F.col("deal_id").alias("subject"), F.lit("sponsor").alias("role"), F.replace("name", F.lit("#"), F.lit(" No. ")).alias("name"))
+    companies = c.select(F.col("company_id").alias("entity"), F.concat(F.lit("Customer no "), F.right("name", F.lit(9))).alias("alias"), F.lit(0.8).alias("confidence"))
+    areas = d.deal_areas().select(F.col("deal_id").alias("subject"), F.lit("area").alias("role"), F.concat(F.lower("area"), F.lit(".")).alias("name"))
+    regions = d.t("region").select(F.col("r_regionkey").cast("long").alias("entity"), F.col("r_name").alias("alias"), F.lit(1.0).alias("confidence"))
+    return linked(assets, own, 0.7, True).unionByName(linked(sponsors, companies, 0.8, False)).unionByName(linked(areas, regions, 0.8, False))
