@@ -133,21 +133,22 @@ def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5, lists
     at = _at_terms(postings, rare).select("rid", "win", "len", F.col("pos").alias("at"))
     widest = (tests.windows.agg(F.coalesce(F.max("len"), F.lit(1))).first()[0] or 1) + slop
     stretch = lambda pos: F.floor(pos / widest).cast("int")
-    placed = postings.withColumn("part", stretch(F.col("pos")))
 
-    def near(at: DataFrame, terms: DataFrame) -> DataFrame:
-        """Postings (pos) of ``terms`` (win, term_id) in reach of each place."""
+    def near(at: DataFrame, terms: DataFrame, among: DataFrame) -> DataFrame:
+        """Postings (pos) of ``terms`` (win, term_id), from ``among``, in reach of each place."""
         own = stretch(F.col("at"))
         asked = at.join(terms, "win").withColumn("part", F.explode(F.array(own - 1, own, own + 1)))
-        return asked.join(placed, ["rid", "term_id", "part"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("len") + slop)
+        return asked.join(among.withColumn("part", stretch(F.col("pos"))), ["rid", "term_id", "part"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("len") + slop)
 
     for rank in range(2, lists + 1):
         next_rare = ranked.where(F.col("rank") == rank).select("win", "term_id")
         alone = at.join(next_rare.select("win"), "win", "left_anti")  # windows with fewer different terms
-        at = materialize(near(at, next_rare).select("rid", "win", "len", "at").distinct().unionByName(alone), "near-places")
+        listed = postings.join(next_rare.select("term_id").distinct(), "term_id", "left_semi")  # of the tests' size
+        at = materialize(near(at, next_rare, listed).select("rid", "win", "len", "at").distinct().unionByName(alone), "near-places")
     terms = tests.windows.select("win", F.explode(F.array_distinct("ids")).alias("term_id"), F.size(F.array_distinct("ids")).alias("n_terms"))
     # each place in reach opens a span of len + slop words; one that holds the anchor and all terms is a match
-    spans = near(at, terms).groupBy("rid", "win", "at", "len", "n_terms").agg(F.collect_set(F.struct("pos", "term_id")).alias("p"))
+    within = postings.join(at.select("rid").distinct(), "rid", "left_semi")
+    spans = near(at, terms, within).groupBy("rid", "win", "at", "len", "n_terms").agg(F.collect_set(F.struct("pos", "term_id")).alias("p"))
     width = F.col("len") + slop
     fits = F.exists(
         "p",
