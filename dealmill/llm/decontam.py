@@ -147,7 +147,8 @@ def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 5, lists
         at = materialize(near(at, next_rare, listed).select("rid", "win", "len", "at").distinct().unionByName(alone), "near-places")
     terms = tests.windows.select("win", F.explode(F.array_distinct("ids")).alias("term_id"), F.size(F.array_distinct("ids")).alias("n_terms"))
     # each place in reach opens a span of len + slop words; one that holds the anchor and all terms is a match
-    within = postings.join(at.select("rid").distinct(), "rid", "left_semi")
+    # written, so that Spark knows their size before it decides whether all postings have to be shuffled
+    within = postings.join(materialize(at.select("rid").distinct(), "near-rids"), "rid", "left_semi")
     spans = near(at, terms, within).groupBy("rid", "win", "at", "len", "n_terms").agg(F.collect_set(F.struct("pos", "term_id")).alias("p"))
     width = F.col("len") + slop
     fits = F.exists(
