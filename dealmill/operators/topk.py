@@ -77,6 +77,7 @@ def interleave(sources: Sequence[DataFrame], limit: int) -> DataFrame:
     """Round robin over ranked sources (id, score): first of each, then second of each, up to ``limit`` rows."""
     parts = None
     for place, df in enumerate(sources):
-        one = df.select(F.lit(place).alias("source"), F.col("id"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("turn")).where(F.col("turn") <= limit)
+        cut = df.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)  # so that the numbering below is over few rows
+        one = cut.select(F.lit(place).alias("source"), F.col("id"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("turn"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.orderBy("turn", "source").limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
-from dealmill.operators.paths import distances, induced, shortest_paths
+from dealmill.operators.paths import distances, induced, shortest_chains
 from dealmill.operators.topk import first_per_key
 
 QUERIES, SQL = {}, {}
@@ -110,12 +110,6 @@ def graph_latest_deal(d: Domain) -> DataFrame:
 _PAIR = "(SELECT a.company AS x, b.company AS y, a.deal_id FROM deal_roles a JOIN deal_roles b ON a.deal_id = b.deal_id AND a.company <> b.company)"
 
 
-def _partnerships(d: Domain) -> DataFrame:
-    """src, dst: companies that met in a deal; each principal with its deals' partners, and partners among themselves."""
-    a, b = d.deal_roles().select("deal_id", F.col("company").alias("src")), d.deal_roles().select("deal_id", F.col("company").alias("dst"))
-    return a.join(b, "deal_id").where(F.col("src") < F.col("dst")).select("src", "dst").distinct()
-
-
 @query(f"""WITH e AS (SELECT DISTINCT x, y FROM {_PAIR}),
 p1 AS (SELECT x, y FROM e WHERE x = 'C1'), direct AS (SELECT ['C1', 'C2'] AS path FROM p1 WHERE y = 'C2'),
 p2 AS (SELECT ['C1', p1.y, e.y] AS path FROM p1 JOIN e ON e.x = p1.y WHERE e.y = 'C2' AND NOT EXISTS (FROM direct)),
@@ -123,7 +117,8 @@ p3 AS (SELECT DISTINCT ['C1', p1.y, a.y, b.y] AS path FROM p1 JOIN e a ON a.x =
 SELECT array_to_string(path, '>') AS path FROM (FROM direct UNION ALL FROM p2 UNION ALL FROM p3) ORDER BY len(path), 1 LIMIT 5""")
 def graph_shortest_paths(d: Domain) -> DataFrame:
     """Up to five shortest chains of partnerships between C1 and C2, of three steps at most."""
-    return shortest_paths(_partnerships(d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"))
+    members = d.deal_roles().select(F.col("deal_id").alias("group"), F.col("company").alias("id"))
+    return shortest_chains(members, "C1", "C2", 3).select(F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH ego AS (SELECT y AS company, count(DISTINCT p.deal_id) AS deals, round(sum(total_value), 2) AS value FROM (SELECT DISTINCT * FROM {_PAIR}) p JOIN deals d ON d.deal_id = p.deal_id WHERE x = 'C1' GROUP BY 1 HAVING count(DISTINCT p.deal_id) >= 1),

@@ -144,14 +144,14 @@ def join_exists_or(d: Domain) -> DataFrame:
 def join_interval_nearest(d: Domain) -> DataFrame:
     """Deals with at most ten filings of the same company within 30 days, nearest first.
 
-    Both sides are cut into 31-day buckets; a filing goes to its own and both neighbouring buckets, so the join
-    is on company and bucket and a busy company is spread over time.
+    Both sides are cut into 31-day buckets; a deal, of which there are fewer, goes to its own and both neighbouring
+    buckets, so the join is on company and bucket and a busy company is spread over time.
     """
     width = 31
     filings = d.t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("l_suppkey").alias("company"), F.to_date("l_shipdate").alias("filed"))
-    filings = filings.withColumn("bucket", F.explode(F.array(*[F.floor(F.unix_date("filed") / width) + k for k in (-1, 0, 1)])))
+    filings = filings.withColumn("bucket", F.floor(F.unix_date("filed") / width))
     deals = d.deals().select("deal_id", (F.col("principal_id") % 100 + 1).alias("company"), F.to_date("date_start").alias("day"))
-    deals = deals.withColumn("bucket", F.floor(F.unix_date("day") / width))
+    deals = deals.withColumn("bucket", F.explode(F.array(*[F.floor(F.unix_date("day") / width) + k for k in (-1, 0, 1)])))
     near = deals.join(filings, ["company", "bucket"]).withColumn("days", F.abs(F.datediff("day", "filed")).cast("long")).where(F.col("days") <= 30)
     best = first_per_key(near, ["deal_id"], [F.col("days"), F.col("filed"), F.col("event_id")], 10)
     return best.select("deal_id", "event_id", "days", F.round(F.greatest(F.lit(0.3), 1 - 0.5 * F.col("days") / 30), 4).alias("confidence"))
