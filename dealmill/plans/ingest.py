@@ -10,6 +10,8 @@ from dealmill.functions import phases
 from dealmill.functions.finance import explode_clauses, explode_terms
 from dealmill.functions.finance import finance_details as details_of
 from dealmill.functions.text import bare_filer_id, canonical_date, domain_name, filer_id
+from dealmill.session import delete, scratch, written
+from dealmill.sources.archive import KEYS, Archive
 from dealmill.sources.readers import item_sections, submission_documents, trial_citations
 from dealmill.sources.sinks import calendar_events, csv_ready
 
@@ -165,3 +167,24 @@ def raw_archive(d: Domain) -> DataFrame:
     """Distinct contents for each archived record; digests are compared, bodies are not shuffled."""
     rows = d.t("pages").select((F.col("page_id") % 50).alias("page_id"), F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
     return rows.distinct().groupBy("page_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""WITH r AS (SELECT 'web' AS source, (page_id % 40)::VARCHAR AS id, sha256(html) AS sha256, TIMESTAMP '2024-01-01' + to_days((page_id // 40)::INTEGER) AS t FROM pages
+ UNION ALL SELECT 'web', (page_id % 40)::VARCHAR, sha256(html), TIMESTAMP '2024-03-01' FROM pages WHERE page_id % 3 = 0
+ UNION ALL SELECT 'web', (page_id % 40)::VARCHAR, sha256(upper(url)), TIMESTAMP '2024-03-02' FROM pages WHERE page_id < 5),
+c AS (SELECT source, id, sha256, min(t) AS first_fetched, max(t) AS last_fetched, count(DISTINCT t) AS fetches FROM r GROUP BY ALL),
+n AS (SELECT DISTINCT ON (source, id) source, id, sha256 FROM r ORDER BY source, id, t DESC, sha256 DESC)
+SELECT c.*, n.sha256 IS NOT NULL AS newest FROM c LEFT JOIN n USING (source, id, sha256)""")
+def archive_fetches(d: Domain) -> DataFrame:
+    """Three runs over the pages: all of them, a third again as they were, a few with another content; then each content's times."""
+    archive = Archive(d.spark, scratch(d.spark, "archive"))
+    pages = d.t("pages").withColumns({"source": F.lit("web"), "id": F.col("page_id") % 40})
+    day = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.floor(F.col("page_id") / 40).cast("int"))
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    archive.add(pages.select("source", "id", F.col("html").alias("body"), day.alias("fetched_at")))
+    archive.add(pages.where(F.col("page_id") % 3 == 0).select("source", "id", F.col("html").alias("body"), at("2024-03-01").alias("fetched_at")))
+    archive.add(pages.where(F.col("page_id") < 5).select("source", "id", F.upper("url").alias("body"), at("2024-03-02").alias("fetched_at")))
+    newest = archive.current().select(*KEYS, F.lit(True).alias("newest"))
+    out = written(archive.contents().join(newest, KEYS, "left").withColumn("newest", F.coalesce("newest", F.lit(False))), "archive-contents")
+    delete(d.spark, archive.folder)
+    return out
