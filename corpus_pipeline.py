@@ -49,8 +49,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows with null or repeated ids are told apart by a row number; null and wordless texts stay, each by itself.
     """
     rows, key = _identified(docs)
-    kept = _ids(rows, key, lambda texts: near_duplicates(texts).where("kept"))
-    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = _ids(rows, key, lambda texts: near_duplicates(texts).where(~F.col("kept")))  # fewer than those that stay
+    return rows.join(copies, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Folders named so far: those of the process, then those of each open scope.
 _NAMED: list[list[str]] = [[]]
+#: Spark's setting: the shuffle files of a statement go when it ends, not when the driver next collects its garbage.
+_FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space separates words: space and \t \n \v \f \r.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,11 +39,17 @@ def shared_dir(spark: SparkSession, name: str, outer: bool = False) -> str:
 def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: a cut of lineage that outlives executors.
 
-    With ``outer`` the files outlive the scope they were written in.
+    With ``outer`` the files outlive the scope they were written in. The shuffle files of the write are freed with
+    it, for whatever comes later reads the Parquet files.
     """
-    path = shared_dir(df.sparkSession, name, outer)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name, outer), spark.conf.get(_FREES_SHUFFLES)
+    spark.conf.set(_FREES_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREES_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

@@ -2,8 +2,9 @@
 
 A text is its set of distinct five-word shingles (64-bit digests). Two small collections of ``m`` half keys, of
 four minhashes each, are computed; a table key is a pair (A_i, B_j), so 8m minhashes serve m * m tables of eight
-concatenated minhashes. Two texts share a table exactly if they share some A_i and some B_j; half keys that
-nobody shares are therefore dropped before pairs are formed, which loses nothing. At similarity s a pair shares a
+concatenated minhashes. Two texts share a table exactly if they share some A_i and some B_j; the B_j are therefore
+looked at only for texts that share some A_i, half keys that nobody shares are dropped before pairs are formed, and
+keys that the same texts have count as one, none of which loses a pair. At similarity s a pair shares a
 table with probability (1 - (1 - s^4)^m)^2: for m = 24 it is missed at 0.75 with probability 0.0002, and met at
 0.3 with probability 0.03.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dealmill.llm.common import in_slices, join_spread, materialize, settled
+from dealmill.llm.common import drop_written, in_slices, join_spread, materialize, scratch, settled
 from dealmill.llm.components import connected_components
 
 SHINGLE = 5
@@ -127,35 +128,43 @@ def _sign(n_hashes: int):
     return run
 
 
-def _half_keys(m: int):
-    """doc_id to its 2m half keys, each of ROWS minhashes and its own place; the lowest bit tells the collection."""
+def _half_keys(m: int, side: int):
+    """doc_id to its m half keys of a collection (0: A, 1: B), each of ROWS minhashes and its own place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 4096):
             n = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, 2 * m, ROWS).astype(np.uint64)
-            keys = np.broadcast_to(np.arange(2 * m, dtype=np.uint64), (n, 2 * m))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, 2, m, ROWS)[:, side].astype(np.uint64)
+            keys = np.broadcast_to(np.arange(side * m, (side + 1) * m, dtype=np.uint64), (n, m))
             for i in range(ROWS):
                 keys = _mixed(keys ^ (sig[:, :, i] << np.uint64(16)))
-            keys = (keys & ~np.uint64(1)) | (np.arange(2 * m) >= m).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc_id")), 2 * m)), pa.array(keys.reshape(-1).view(np.int64))], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("doc_id")), m)), pa.array(keys.reshape(-1).view(np.int64))], ["doc_id", "key"])
 
     return run
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose key more than one row has. The keys are written, so that the rows of a hot key can be split."""
-    often = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), name)
-    return rows.join(often, "key", "left_semi")
+    """doc_id, key: the keys that more than one row has; keys that the same documents have become one.
 
+    ``rows`` has each doc_id and key once. The keys are written, so that the rows of a hot key can be split.
+    """
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("by"))
+    often = materialize(held.where(F.col("n") > 1).select("key", F.xxhash64("n", "by").alias("named")), name)
+    return rows.join(often, "key").select("doc_id", F.col("named").alias("key")).distinct()
+
+
+def shared_halves(signed: DataFrame, m: int, side: int) -> DataFrame:
+    """doc_id, key: the shared half keys of a collection. All half keys are removed once these are written."""
+    with scratch(signed.sparkSession):
+        halves = materialize(signed.select("doc_id", "sig").mapInArrow(_half_keys(m, side), "doc_id long, key long"), "halves")
+        return materialize(_shared(halves, "often"), "shared-halves", outer=True)
 
-def table_keys(signed: DataFrame, m: int) -> DataFrame:
-    """doc_id, key: the shared keys of the m * m tables."""
-    halves = _shared(materialize(signed.select("doc_id", "sig").mapInArrow(_half_keys(m), "doc_id long, key long"), "halves"), "shared-halves")
-    side = F.col("key").bitwiseAND(1)
-    sides = halves.groupBy("doc_id").agg(F.collect_list(F.when(side == 0, F.col("key"))).alias("a"), F.collect_list(F.when(side == 1, F.col("key"))).alias("b"))
-    pairs = sides.where((F.size("a") > 0) & (F.size("b") > 0)).select("doc_id", F.explode("a").alias("a"), "b").select("doc_id", "a", F.explode("b").alias("b"))
-    return _shared(materialize(pairs.select("doc_id", F.xxhash64("a", "b").alias("key")), "tables"), "shared-tables")
+
+def table_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, key: the shared keys of the tables, from the shared half keys of both collections."""
+    with scratch(a.sparkSession):
+        pairs = a.join(b.withColumnRenamed("key", "other"), "doc_id").select("doc_id", F.xxhash64("key", "other").alias("key"))
+        return materialize(_shared(materialize(pairs, "tables"), "often"), "shared-tables", outer=True)
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
@@ -366,29 +375,39 @@ def links_in_groups(rows: DataFrame, measure, block: int, n_heads: int = 8) -> D
 def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 24, block: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id, component_id, kept.
 
-    ``documents`` has doc_id (unique, not null: an input without such ids has to be numbered first; of repeated ids
-    with different texts, the one with the smallest digest of its words stands for the id, and each row gets a row)
+    ``documents`` has doc_id (unique, not null: an input without such ids has to be numbered first; of
+    the different texts that have one id for their smallest, that with the smallest digest of its words stands for it;
+    each row gets a row)
     and text; other columns are ignored. Null and wordless texts have empty sets and link with nothing, not even
     with one another. ``class_id`` is the smallest id with the same words, ``component_id`` the smallest id
     reachable over links. An empty table gives no rows. Long texts are read whole, in pieces.
     """
     n_hashes = 2 * m * ROWS
     signed = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(n_hashes), SIGNED), "signed")
-    worded = signed.where(F.col("n_shingles") > 0)
-    classes = materialize(worded.groupBy("words").agg(F.min("doc_id").alias("class_id")), "classes")
-    first = worded.where(F.col("doc_id").isNotNull()).join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    first = materialize(first.groupBy("doc_id").agg(F.min(F.struct("words", "sig")).alias("s")).select("doc_id", "s.words", "s.sig"), "first")
-
-    keyed = table_keys(first, m)
+    ids = materialize(signed.drop("sig"), "ids")
+    worded = ids.where(F.col("n_shingles") > 0)
+    # the same words have the same minhashes: those go through one shuffle, and copies meet before it
+    signs = signed.where(F.col("n_shingles") > 0).groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    signs = materialize(signs, "signs")
+    drop_written(signed)
+    classes = materialize(signs.select("words", F.col("doc_id").alias("class_id")), "classes")
+    repeated = classes.groupBy("class_id").agg(F.min("words").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    others = materialize(classes.join(materialize(repeated.drop("n"), "repeated"), "class_id").where(F.col("words") != F.col("least")).select("words"), "others")
+    first = signs.where(F.col("doc_id").isNotNull()).join(others, "words", "left_anti")
+
+    a = shared_halves(first, m, 0)
+    near = materialize(first.join(a.select("doc_id").distinct(), "doc_id", "left_semi"), "near")
+    drop_written(signs)
+    keyed = table_keys(a, shared_halves(near, m, 1))
     coarse = connected_components(_stars(keyed))
-    rows = coarse.join(first, coarse["id"] == first["doc_id"]).select(F.col("component").alias("grp"), "doc_id", F.col("sig").alias("data"))
+    rows = coarse.join(near, coarse["id"] == near["doc_id"]).select(F.col("component").alias("grp"), "doc_id", F.col("sig").alias("data"))
     # 4.2 standard deviations below the expected agreement of a pair at the threshold
     p = percent / 100
     least = int(n_hashes * p - 4.2 * (n_hashes * p * (1 - p)) ** 0.5)
     fine = connected_components(links_in_groups(rows, Signatures(n_hashes, least), 4 * block))
 
     # a shuffle at any size: the ids grow with the corpus, so a broadcast would only hold for small inputs
-    chosen = fine.join(first.select(F.col("doc_id").alias("id"), "words"), "id")
+    chosen = fine.join(near.select(F.col("doc_id").alias("id"), "words"), "id")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen.hint("merge"), "id").select("component", "id", "words", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +421,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, m: int = 24, block:
     linked = connected_components(links_in_groups(full, Sets(percent), block)).withColumnRenamed("id", "class_id")
     named = classes.join(linked, "class_id", "left").select("words", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     judged = join_spread(worded.select("doc_id", "n_shingles", "words"), named, "words", ["doc_id"]).drop("words")
-    bare = signed.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    bare = ids.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return judged.select(*bare.columns).unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -438,3 +438,38 @@ def test_pipeline_stages_keep_columns_and_odd_rows(spark):
     assert sorted(str(r.text) for r in out.collect()) == ["", "None", "same text of five words", rows[0][1]]
     assert corpus_pipeline.mixing(spark, out, DATA).count() >= 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicate", "decontamination", "mixing"]
+
+
+def _shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return sum("shuffle_" in f for f in files.split("\n"))
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    from dealmill.llm.common import materialize
+
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, before = spark.conf.get(setting), _shuffle_files(spark)
+    assert materialize(counts, "counts").count() == 7 and materialize(counts, "counts").agg(F.sum("count")).first()[0] == 1000
+    assert _shuffle_files(spark) <= before + 4 and spark.conf.get(setting) == held  # the two reads' own files at most
+
+
+def test_shared_keys_join_the_same_documents_and_equal_ones_are_one(spark):
+    rng = random.Random(5)
+    keys = {k: rng.sample(range(40), rng.choice([1, 1, 2, 3, 9])) for k in range(300)} | {k: [50, 51] for k in range(1000, 1024)} | {2000: [60]}
+    rows = spark.createDataFrame([(d, k) for k, held in keys.items() for d in held], "doc_id long, key long")
+    together = lambda by: {(a, b) for held in by.values() for a in held for b in held if a < b}
+    got: dict[int, list[int]] = {}
+    for r in neardup._shared(rows, "often").collect():
+        got.setdefault(r.key, []).append(r.doc_id)
+    assert together(got) == together(keys)
+    assert len(got) == len({frozenset(held) for held in keys.values() if len(held) > 1})
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    x, y, z = " ".join(words), " ".join([*words[:59], "other"]), " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(1, x), (2, y), (2, y), (3, z), (3, z.upper()), (4, z), (5, None), (None, "a b")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 3), (3, 3), (4, 3), (5, 5), (None, None)], key=str)
