@@ -6,14 +6,20 @@ appended to the cache, and every document takes its count from there.
 
 Normalising replaces each run of ASCII white space by one space and trims the ends. The tokenizer drops white
 space, so this never changes a count; letters are left alone, for lower-casing before composition can.
+
+Where the tokenizer's file shows that nothing in it reaches over a space, a text's count is the sum of the counts of
+its stretches between spaces. Those are remembered by each Python worker, so a word is encoded once in a worker and not
+once for each time it occurs.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +41,55 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(kind.encode() + b"\0" + f.read()).hexdigest()
 
 
+#: Pre-tokenizers whose pieces hold no white space, with no look beyond a piece.
+_SPACELESS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: Normalizers that change a character by itself; NFC composes nothing with a space.
+_BY_CHARACTER = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+
+def ends_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer (its file's JSON) is known to encode what lies between spaces apart from all else."""
+    parts = lambda x, inside: x[inside] if x and x["type"] == "Sequence" else [x] if x else []
+    first, *rest = parts(spec["pre_tokenizer"], "pretokenizers") or [{}]
+    return (
+        all(x in _BY_CHARACTER for x in parts(spec["normalizer"], "normalizers"))
+        and first.get("type") == "Split"
+        and first["behavior"] == "Removed"
+        and first["invert"] is True
+        and first["pattern"].get("Regex") in _SPACELESS
+        and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+        and all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not x["normalized"] and " " not in x["content"] for x in spec["added_tokens"])
+        and not spec["model"].get("dropout")
+    )
+
+
+def by_stretches(count: Callable[[list[str]], list[int]], most: int = 1 << 18, longest: int = 64) -> Callable[[list[str]], list[int]]:
+    """The same counts, as sums over the stretches between spaces.
+
+    What is met for the first time is counted with the rest of its text; what is met again, up to ``longest``
+    characters, is counted by itself and remembered. With more than ``most`` of either, they are forgotten.
+    """
+    once: set[str] = set()
+    known: dict[str, int] = {}
+
+    def run(texts: list[str]) -> list[int]:
+        split = [t.split(" ") for t in texts]
+        fresh = set(itertools.chain.from_iterable(split)).difference(known)
+        again = list(fresh & once)
+        known.update(zip(again, count(again), strict=True))
+        fresh.difference_update(again)
+        rest = count([" ".join([x for x in s if x in fresh]) for s in split])
+        out = [r + sum(map(known.get, s, itertools.repeat(0))) for r, s in zip(rest, split, strict=True)]
+        once.difference_update(again)
+        once.update(x for x in fresh if len(x) <= longest)
+        for held in (once, known):
+            if len(held) > most:
+                held.clear()
+        return out
+
+    return run
+
+
 @functools.cache
 def _encoder(path: str):
     """texts -> counts, by the library that the file belongs to."""
@@ -49,7 +104,9 @@ def _encoder(path: str):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        return by_stretches(whole) if ends_at_spaces(json.load(f)) else whole
 
 
 def _count_batches(path: str, version: str, chars: int = 1 << 20):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -79,6 +80,47 @@ def test_normalising_never_changes_a_count(text):
     assert encode([text]) == encode([re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")])
 
 
+def test_words_met_before_are_not_encoded_again():
+    seen = []
+    encode = tokens.by_stretches(lambda texts: seen.extend(texts) or [sum(map(len, t.split())) for t in texts], most=50)
+    texts = ["alpha beta gamma alpha", "beta " * 1000, "", "x" * 100, "alpha  beta delta"]
+    for _ in range(3):
+        assert encode(texts) == [len(t.replace(" ", "")) for t in texts]
+    met, seen[:] = len(seen), []
+    assert encode(texts) == [len(t.replace(" ", "")) for t in texts]
+    assert met and [t for t in seen if t.strip()] == ["x" * 100]  # too long to be remembered
+    for lo in range(0, 400, 40):  # more than are remembered
+        assert encode([f"w{i} w{i - 20}" for i in range(lo, lo + 40)]) == [len(f"w{i}w{i - 20}") for i in range(lo, lo + 40)]
+
+
+def test_only_known_tokenizers_are_counted_by_stretches():
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokens.ends_at_spaces(spec)
+    spaced = {"id": 9, "content": "a b", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    for change in ({"added_tokens": [spaced]}, {"added_tokens": [spaced | {"content": "a", "lstrip": True}]}, {"pre_tokenizer": None}, {"pre_tokenizer": byte_level}, {"normalizer": {"type": "Strip"}}):
+        assert not tokens.ends_at_spaces(spec | change)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aJ<|endoftx>' \t\u0301\u030c\u0345\u00a0Σςİé日한\u11a8?!2")), max_size=40), max_size=5))
+def test_counts_by_stretches_equal_the_library(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = _library(path), tokens._encoder(path)
+    for _ in range(2):
+        assert encode(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@functools.cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def test_toxicity_folding_and_exceptions():
     m = toxicity.ToxicityModel({toxicity.fold("idiot"): 4.0, toxicity.fold("clown"): 4.0, toxicity.fold("trash"): 4.0}, {toxicity.fold("trash can")})
     match = m.matcher()
