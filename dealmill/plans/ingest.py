@@ -41,10 +41,12 @@ _INTS = "SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity::INT AS q, floor
 @query(f"""WITH x AS ({_INTS}) SELECT id, 'upfront' AS kind, q::DOUBLE AS amount, NULL::DOUBLE AS rate_low, NULL::DOUBLE AS rate_high, false AS tiered FROM x
 UNION ALL SELECT id, 'royalty', NULL, (CASE WHEN low > 0 THEN least(low, high) ELSE high END)::DOUBLE, greatest(low, high)::DOUBLE, low > 0 AND low <> high FROM x""")
 def contract_clauses(d: Domain) -> DataFrame:
-    """Clauses of contracts written out from line items."""
-    x = _contract_lines(d)
+    """Clauses of contracts written out from line items: each wording is read once, and told of all contracts that have it."""
+    x, wording = _contract_lines(d), ["q", "low", "high"]
     text = F.concat(F.lit("The upfront payment is USD "), F.col("q").cast("string"), F.lit(" million.\n\nRoyalties of "), F.col("low").cast("string"), F.lit("% to "), F.col("high").cast("string"), F.lit("% of net sales."))
-    return explode_clauses(x.select("id", text.alias("text")), "id", "text").select("id", "kind", "amount", "rate_low", "rate_high", "tiered")
+    texts = x.select(*wording).distinct().select(F.lit(0).alias("id"), *wording, text.alias("text"))
+    clauses = explode_clauses(texts, "id", "text", keep=tuple(wording)).drop("id")
+    return x.join(clauses, wording).select("id", "kind", "amount", "rate_low", "rate_high", "tiered")
 
 
 #: Payloads with what is expected of each of their payments, worked out by hand: term, amount in millions, in USD, rate bounds, confidence, breakdown.

@@ -296,3 +296,16 @@ def test_references_without_a_semicolon_stay(spark):
 
     df = spark.createDataFrame([(1, "<h1>a&amp;&amp;&amp</h1>b &quo c"), (2, "<p>&lt;i&gt; &#233;&#xE9;&semi;&nbsp;&amp;lt; x&ampy; &copy"), (3, "<p>&nowhere; &eacute;")], "id long, t string")
     assert {r.id: r.content for r in plain_text(df, "id", "t").collect()} == {1: "a&&&amp b &quo c", 2: "<i> éé; &lt; x&ampy; &copy", 3: "&nowhere; é"}
+
+
+def test_each_wording_of_contracts_is_read_once(spark):
+    import re
+
+    from conftest import DATA
+
+    from dealmill.plans import QUERIES
+
+    text = QUERIES["contract_clauses"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[q#\d+, low#\d+, high#\d+\]", text) and text.count("Generate explode([upfront,milestone,royalty])") == 1
+    df = spark.createDataFrame([(1, "a", "A signing fee of $20 million is due."), (2, None, "A signing fee of $20 million is due.")], "id long, k string, text string")
+    assert {(r.id, r.k, r.kind, r.amount) for r in finance.explode_clauses(df, "id", "text", keep=("k",)).collect()} == {(1, "a", "upfront", 20.0), (2, None, "upfront", 20.0)}
