@@ -59,16 +59,38 @@ def scopes(claims: DataFrame, places: DataFrame, above: DataFrame, most: int = 2
     return told.select("claim", "place", scope.alias("scope"), "via", "conflict", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), "evidence")
 
 
-def dossiers(links: DataFrame, subject: str, sections: Mapping[str, tuple[Column, Column, Column]], limit: int = 50) -> DataFrame:
+def dossiers(links: DataFrame, subject: str, sections: Mapping[str, tuple[Column, Column, Column]], limit: int = 50, hot: int = 1_000_000) -> DataFrame:
     """subject, section, place, id, links, last, of: the newest entries of each section of each subject.
 
-    ``sections`` gives (id, when, condition) of a section over the rows of ``links``. All sections are told apart by a
-    tag and go through one shuffle together: entries are summed by (subject, section, id) before it. ``of`` is how
-    many entries the section has; ``limit`` of them are given, by last date and id.
+    ``sections`` gives (id, when, condition) of a section over the rows of ``links``. Links are dealt out by subject
+    once, one row each; what follows is done where they lie, all sections together. Subjects with more than ``hot``
+    links, which are counted first, go another way, where no task has all of one: their entries are summed by
+    (subject, section, id) and cut before those of a section meet. ``of`` is how many entries the section has;
+    ``limit`` of them are given, by last date and id.
     """
-    tagged = F.array(*[F.struct(F.lit(name).alias("section"), i.cast("string").alias("id"), at.alias("at"), keep.alias("keep")) for name, (i, at, keep) in sections.items()])
-    entries = links.where(F.col(subject).isNotNull()).select(F.col(subject).alias("subject"), F.explode(tagged).alias("e")).where(F.col("e.keep") & F.col("e.id").isNotNull())
-    summed = entries.groupBy("subject", "e.section", "e.id").agg(F.count(F.lit(1)).alias("links"), F.max("e.at").alias("last"))
+    links = links.where(F.col(subject).isNotNull())
+    often = [r[0] for r in links.groupBy(subject).count().where(F.col("count") > hot).select(subject).collect()]
+    if not often:
+        return _told(_entries(links.repartition(subject), subject, sections), limit)
+    is_hot = F.col(subject).isin(*often)
+    summed = _entries(links.where(is_hot), subject, sections)
     counts = summed.groupBy("subject", "section").agg(F.count(F.lit(1)).alias("of"))
+    hot_ones = _first(summed, limit).join(counts, ["subject", "section"])
+    return _told(_entries(links.where(~is_hot).repartition(subject), subject, sections), limit).unionByName(hot_ones)
+
+
+def _entries(links: DataFrame, subject: str, sections: Mapping[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """subject, section, id, links, last: links summed by the entries they make."""
+    tagged = F.array(*[F.struct(F.lit(name).alias("section"), i.cast("string").alias("id"), at.alias("at"), keep.alias("keep")) for name, (i, at, keep) in sections.items()])
+    entries = links.select(F.col(subject).alias("subject"), F.explode(tagged).alias("e")).where(F.col("e.keep") & F.col("e.id").isNotNull())
+    return entries.groupBy("subject", "e.section", "e.id").agg(F.count(F.lit(1)).alias("links"), F.max("e.at").alias("last"))
+
+
+def _first(summed: DataFrame, limit: int) -> DataFrame:
     order = W.partitionBy("subject", "section").orderBy(F.desc_nulls_last("last"), "id")
-    return summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).join(counts, ["subject", "section"])
+    return summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def _told(summed: DataFrame, limit: int) -> DataFrame:
+    """The first entries with the number of all, counted beside them."""
+    return _first(summed.withColumn("of", F.count(F.lit(1)).over(W.partitionBy("subject", "section"))), limit)

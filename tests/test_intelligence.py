@@ -108,3 +108,26 @@ def test_bad_children_are_kept_aside(spark, tmp_path):
     store.store(batch, {"named": F.col("name").isNotNull(), "dated": F.col("at") > 0})
     assert rows_of(store) == [(1, "new", 1, 1), (2, "old", 1, 1)]
     assert {(r.parent, r.error) for r in spark.read.parquet(f"{tmp_path}/errors").collect()} == {(1, "named, dated"), (2, "dated")}
+
+
+def test_dossiers_are_dealt_out_once_and_busy_subjects_are_not_held_by_one_task(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 2, 2, 2, 3]), r.randint(1, 30), r.choice([None, *range(9)]), r.random() < 0.7) for _ in range(400)]
+    links = spark.createDataFrame(rows, "s long, a long, at int, keep boolean")
+    sections = {"a": (F.col("a"), F.col("at"), F.col("keep")), "pair": (F.concat_ws("-", "a", "at"), F.col("at"), F.lit(True))}
+    told = lambda hot: scopes.dossiers(links, "s", sections, 5, hot)
+    got = sorted(map(tuple, told(10**6).select("subject", "section", "place", "id", "links", "last", "of").collect()), key=str)
+    assert got == sorted(map(tuple, told(100).select("subject", "section", "place", "id", "links", "last", "of").collect()), key=str)
+    held = {}
+    for s, a, at, keep in rows:
+        for section, i in (("a", str(a) if keep else None), ("pair", f"{a}-{at}" if at is not None else str(a))):
+            if s is not None and i is not None:
+                held.setdefault((s, section), {}).setdefault(i, []).append(at)
+    want = []
+    for (s, section), ids in held.items():
+        last = {i: max((x for x in ats if x is not None), default=None) for i, ats in ids.items()}
+        first = sorted(ids, key=lambda i: (last[i] is None, -(last[i] or 0), i))[:5]
+        want += [(s, section, n + 1, i, len(ids[i]), last[i], len(ids)) for n, i in enumerate(first)]
+    assert got == sorted(want, key=str)
+    plan = QUERIES["asset_dossiers"](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(") <= 3 and plan.count("REPARTITION_BY_COL") == 1  # the join's two sides, if it has any, and one by subject
