@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dealmill.domain import Domain, with_domain
@@ -187,27 +186,68 @@ _GRAMS_SQL = """(SELECT {id} AS id, unnest(list_distinct(flatten(list_transform(
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM {table})"""
 
 
+#: Grams that a key is made of, at most, and keys of a name, at most: the more grams, the fewer names meet that are not alike.
+KEY_GRAMS, KEYS = 3, 128
+
+
+def _subsets(codes: Column, n: int) -> Column:
+    """All choices of n of the codes, each in their order."""
+    if n == 1:
+        return F.transform(codes, lambda g: F.array(g))
+    rest = lambda i: F.slice(codes, i + 2, F.greatest(F.size(codes) - i - 1, F.lit(0)))
+    return F.flatten(F.transform(codes, lambda g, i: F.transform(_subsets(rest(i), n - 1), lambda s: F.concat(F.array(g), s))))
+
+
+def _fewest_shared(size: Column, least: Column, threshold: float) -> Column:
+    """How many grams a name must share with any that it is like, if the others have ``least`` at least: more than t / (1 + t) of both together."""
+    other = F.greatest(least, F.ceil(F.lit(threshold) * size - F.lit(1e-9)))
+    return (F.floor(F.lit(threshold / (1 + threshold)) * (size + other) - F.lit(1e-9)) + 1).cast("int")
+
+
 def similarity_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """id_a, id_b, score: names (id, name) with trigram similarity over the threshold.
 
-    Grams are exploded and joined; only the grams that can decide are used: of a name with n grams the
-    n - ceil(threshold * n) + 1 rarest, since a pair over the threshold shares one of them at least. Candidates
-    are then scored on all grams.
+    Each spelling is compared once, however many rows have it. Grams of one side alone can't be shared: they only
+    count in a name's size. Of its other grams a name that must share o with any that it is like takes the rarest,
+    all but o - n of them: two such names have n of these in common, the first n of all that they share. So names
+    meet by each choice of n = 3 of these grams (fewer, where a name would have more than ``KEYS`` choices or must
+    share fewer; a pair goes by the lesser n of its two). Those that meet are scored on all grams at once.
     """
-    grams = lambda df, side: df.select(F.col("id").alias(f"id_{side}"), trigrams(F.col("name")).alias("grams"))
-    a, b = grams(left, "a"), grams(right, "b")
-    often = a.select(F.explode("grams").alias("g")).unionByName(b.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-
-    def rare(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(f"id_{side}", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(often, "g")
-        k = F.row_number().over(W.partitionBy(f"id_{side}").orderBy("n", "g"))
-        return rows.withColumn("k", k).where(F.col("k") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select(f"id_{side}", "g")
-
-    met = rare(a, "a").join(rare(b, "b"), "g").select("id_a", "id_b").distinct()
-    both = met.join(a, "id_a").join(b.withColumnRenamed("grams", "grams_b"), "id_b")
-    shared = F.size(F.array_intersect("grams", "grams_b"))
-    score = shared / (F.size("grams") + F.size("grams_b") - shared)
-    return both.select("id_a", "id_b", F.round(score, 4).alias("score"), score.alias("_exact")).where(F.col("_exact") > threshold).drop("_exact")
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    code = lambda g: point(g, 1) * 2**42 + point(g, 2) * 2**21 + point(g, 3)
+    spelled = lambda df: df.select(F.lower("name").alias("name")).where("name IS NOT NULL").distinct()
+    grams = [spelled(df).select("name", F.transform(trigrams(F.col("name")), code).alias("grams")).where(F.size("grams") > 0) for df in (left, right)]
+    often = [df.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")) for df in grams]
+    both = often[0].join(often[1].withColumnRenamed("n", "m"), "g").select("g", (F.col("n") + F.col("m")).alias("n"))
+    least = [df.agg(F.min(F.size("grams")).alias("least")) for df in grams]
+
+    def sharing(df: DataFrame, others: DataFrame) -> DataFrame:
+        """name, size, codes (those of both sides, rarest first), must (how many it must share), most (grams of its keys)."""
+        rows = df.select("name", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(both, "g")
+        rows = rows.groupBy("name", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda r: r["g"]).alias("codes"))
+        rows = rows.crossJoin(F.broadcast(others)).withColumn("must", _fewest_shared(F.col("size"), F.col("least"), threshold)).where(F.size("codes") >= F.col("must"))
+        spare, choices, most = F.size("codes") - F.col("must"), F.lit(1.0), F.lit(1)
+        for n in range(1, KEY_GRAMS + 1):
+            choices = choices * (spare + n) / n
+            most = F.when((choices <= KEYS) & (F.col("must") >= n), n).otherwise(most) if n > 1 else most
+        return rows.select("name", "size", "codes", "must", most.alias("most"))
+
+    a, b = sharing(grams[0], least[1]), sharing(grams[1], least[0])
+
+    def keyed(df: DataFrame, others: DataFrame, side: str) -> DataFrame:
+        asked = others.agg(F.collect_set("most").alias("asked"))
+        rows = df.crossJoin(F.broadcast(asked))
+        wanted = F.transform("asked", lambda n: F.least(n, F.col("most")))
+        first = lambda n: F.slice("codes", 1, F.size("codes") - F.col("must") + n)
+        keys = F.concat(*[F.when(F.array_contains(wanted, n), F.transform(_subsets(first(n), n), lambda s: F.xxhash64(s))).otherwise(F.array().cast("array<long>")) for n in range(1, KEY_GRAMS + 1)])
+        return rows.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{c}_{side}") for c in ("name", "size", "codes")])
+
+    shared = F.size(F.array_intersect("codes_a", "codes_b"))
+    score = shared / (F.col("size_a") + F.col("size_b") - shared)
+    alike = keyed(a, b, "a").join(keyed(b, a, "b"), "key").where(score > threshold).select("name_a", "name_b", score.alias("score")).distinct()
+    named = lambda df, side: df.select(F.col("id").alias(f"id_{side}"), F.lower("name").alias(f"name_{side}"))
+    found = alike.join(named(left, "a"), "name_a").join(named(right, "b"), "name_b")
+    return found.select("id_a", "id_b", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH a AS {_GRAMS_SQL.format(id="c_custkey", name="c_name", table="customer")}, b AS {_GRAMS_SQL.format(id="s_suppkey", name="s_name", table="supplier")},

@@ -309,3 +309,36 @@ def test_each_wording_of_contracts_is_read_once(spark):
     assert re.search(r"HashAggregate\(keys=\[q#\d+, low#\d+, high#\d+\]", text) and text.count("Generate explode([upfront,milestone,royalty])") == 1
     df = spark.createDataFrame([(1, "a", "A signing fee of $20 million is due."), (2, None, "A signing fee of $20 million is due.")], "id long, k string, text string")
     assert {(r.id, r.k, r.kind, r.amount) for r in finance.explode_clauses(df, "id", "text", keep=("k",)).collect()} == {(1, "a", "upfront", 20.0), (2, None, "upfront", 20.0)}
+
+
+def test_similar_names_equal_all_pairs(spark):
+    import random
+    import re
+
+    from conftest import DATA
+
+    from dealmill.plans import QUERIES
+    from dealmill.plans.companies import similarity_pairs
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aabcé") for _ in range(r.randint(1, 7)))
+    base = [" ".join(word() for _ in range(r.randint(1, 5))) for _ in range(150)]
+    names = lambda: [(i, r.choice([r.choice(base), r.choice(base).upper(), r.choice(base) + word(), word(), "Inc. " + r.choice(base) + " of a long and telling name", None, "", "--"])) for i in range(250)]
+
+    def grams(name):
+        words = [w for w in re.split(r"[^a-zé0-9]+", (name or "").lower()) if w]
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    left, right = names(), names()
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    for threshold in (0.3, 0.5, 0.75):
+        want = {}
+        for i, a in left:
+            for k, b in right:
+                x, y = grams(a), grams(b)
+                if x | y and len(x & y) / len(x | y) > threshold:
+                    want[i, k] = len(x & y) / len(x | y)
+        got = similarity_pairs(frame(left), frame(right), threshold).collect()
+        assert len(got) == len(want) > 50 and {(x.id_a, x.id_b): x.score for x in got} == pytest.approx(want, abs=6e-5)
+    text = QUERIES["fuzzy_name_pairs"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"(?:SortMergeJoin|BroadcastHashJoin).*array_intersect", text)  # names that meet are scored before they are told apart
