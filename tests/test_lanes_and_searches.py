@@ -107,3 +107,17 @@ def test_blocks_of_a_range_cover_it_and_are_few(spark):
         a, z = row.a if row.least is not None else 0, row.z if row.most is not None else 2**12 - 1
         steps = sorted(s for k, n in (map(int, b.split(":")) for b in row.b) for s in range(n * 2**k, (n + 1) * 2**k))
         assert steps == list(range(a, z + 1)) and len(row.b) <= 24
+
+
+def test_matches_are_not_dealt_out_again_unless_ids_are_repeated(spark):
+    day = dt.datetime(2020, 1, 1)
+    frame = lambda ids: spark.createDataFrame([(i, 5.0, day, ["Alpha One", "alpha two", "ALPHA ONE", None], ["x"]) for i in ids], ROWS)
+    asked = lambda ids: spark.createDataFrame([(i, "alpha", None, None, None, None) for i in ids] + [(9, None, None, 1.0, 7.0, None)], "search_id long, company string, area string, least double, most double, since timestamp_ntz")
+    values = spark.createDataFrame([("company", "Alpha One"), ("company", "Alpha Two"), ("company", "alpha three"), ("area", "x")], "field string, value string")
+    index = saved_searches.search_index(asked([1, 2]), values, FIELDS)
+    assert saved_searches.told_apart(index) and not saved_searches.told_apart(saved_searches.search_index(asked([1, 9]), values, FIELDS))
+    found = saved_searches.matches(frame([10, 11]), index, FIELDS, True)
+    assert sorted(map(tuple, found.collect())) == [(s, i) for s in (1, 2, 9) for i in (10, 11)]
+    assert "keys=[search_id" not in found._jdf.queryExecution().executedPlan().toString()
+    again = saved_searches.matches(frame([10, 10]), index, FIELDS)
+    assert sorted(map(tuple, again.collect())) == [(1, 10), (2, 10), (9, 10)]
