@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
@@ -224,3 +225,25 @@ def test_op13_scores_every_document_and_holds_a_fold_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert len(out) == docs.count() and out["score"].between(0, 1).all()
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(out["doc_id"], out["held_out"], strict=True))
+
+
+def test_visits_of_many_regions_come_in_small_batches(spark, monkeypatch):
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-50, 50, (600, 4)).astype("f8")
+    longest2 = float((x**2).sum(1).max())
+    tree = negatives.VantageTree(negatives._lift(x, longest2), longest2, 4)
+    everything = [{"tag": 0, "lo": negatives.LEAST, "hi": negatives.MOST, "need": negatives.LEAST}]
+    window = pa.list_(pa.struct([(k, pa.int64()) for k in ("tag", "lo", "hi", "need")]))
+    asks = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(100)]), pa.array([v.tobytes() for v in x[:100]]), pa.array([everything] * 100, window)], ["vh", "vec", "windows"])
+    visits = lambda: list(negatives._visits(tree, 4, longest2, False)(iter([asks])))
+    whole = pa.Table.from_batches(visits())
+    monkeypatch.setattr(negatives, "VISIT_BYTES", 288 * 50)
+    parts = visits()
+    assert whole.num_rows == 100 * (len(tree.leaves()) - 1) and max(b.num_rows for b in parts) <= 50 and pa.Table.from_batches(parts).equals(whole)
+
+    posts = spark.createDataFrame([(bytearray(hashlib.md5(str(i // 2).encode()).digest()), i) for i in range(2000)], "vh binary, vec_id long")
+    want = [r.vec_id for r in posts.orderBy("vh", "vec_id").limit(50).collect()]
+    low = negatives._lowest(posts, 2000, 50)
+    assert sorted(r.vec_id for r in low.collect()) == sorted(want) and "vh" in low._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
